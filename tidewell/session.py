@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,23 @@ def get_spark(app: str = "tidewell", cores: int | str = "*", **conf: str) -> Spa
     )
     for k, v in conf.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per context, so that a cluster needs no install."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewell_shipped", False):
+        return spark
+    at = tempfile.mkdtemp(prefix="tidewell-code-")
+    _own_dirs.append(at)
+    root = Path(__file__).parent
+    with zipfile.ZipFile(f"{at}/tidewell-code.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(f"{at}/tidewell-code.zip")
+    sc._tidewell_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
