@@ -33,16 +33,27 @@ BACKOFF, UNKNOWN = 2.0, 0.02
 #: Below this chance a tail is unfinished. A sentence has many more continuations than ends, so the odds are skewed on purpose.
 UNFINISHED = 0.2
 
-_PAD, _NUMBER, _SHORT, _MIDDLE, _LONG, _OTHER = range(6)
-_PUNCT = {c: 6 + i for i, c in enumerate(",;:()[]{}\"'/-.!?«»„“”`*_<>=+#%&@…|\\")}
-_BASE = 6 + len(_PUNCT)
+_PAD, _NUMBER, _SHORT, _MIDDLE, _LONG, _PART, _OTHER = range(7)
+_PUNCT = {c: 7 + i for i, c in enumerate(",;:()[]{}\"'/-.!?«»„“”`*_<>=+#%&@…|\\")}
+_BASE = 7 + len(_PUNCT)
 _TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_|\n")
 #: Marks that a cut leaves behind.
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…|truncated|cut|abgeschnitten|gekürzt|tronqué|coupé|truncado|cortado)\s*\]|\(\s*(?:\.\.\.|…|truncated|cut|continued)\s*\)|<\s*(?:truncated|cut)\s*>|\.\.\.|…|--+>?)\s*$", re.I)
-_STOP = re.compile(r"(?:[.!?。！？][\"'”’»)\]*_`]*|```)\s*$")
+_STOP = re.compile(r"(?:[.!?。！？][\"'”’»)\]*_`]*|`)\s*$")
 
 
-def vocabulary(texts: DataFrame) -> dict[str, int]:
+class Words(dict):
+    """The numbers of the frequent words, and the beginnings of these words."""
+
+    def __init__(self, words: list[str]) -> None:
+        super().__init__((w, _BASE + i) for i, w in enumerate(words))
+        self.parts = {w[:i] for w in words for i in range(1, len(w))}
+
+    def __reduce__(self):
+        return Words, (list(self),)
+
+
+def vocabulary(texts: DataFrame) -> Words:
     """texts(text) -> the numbers of the frequent words. A bounded aggregate over all texts."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     n = texts.filter("text IS NOT NULL").count()
@@ -50,21 +61,23 @@ def vocabulary(texts: DataFrame) -> dict[str, int]:
         spread(texts).filter("text IS NOT NULL").select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= max(4, n // ONE_IN)).orderBy(F.desc("n"), "w").limit(VOCABULARY - _BASE).collect()
     )
-    return {r.w: _BASE + i for i, r in enumerate(rows)}
+    return Words([r.w for r in rows])
 
 
-def _number(token: str, words: dict[str, int]) -> int:
+def _number(token: str, words: Words) -> int:
     got = words.get(token)
     if got is not None:
         return got
     if token.isdigit():
         return _NUMBER
     if token[0].isalpha():
+        if token in words.parts:
+            return _PART
         return _SHORT if len(token) <= 3 else _MIDDLE if len(token) <= 5 else _LONG
     return _PUNCT.get(token, _OTHER)
 
 
-def _sentences(text: str, words: dict[str, int]) -> list[tuple[list[int], bool]]:
+def _sentences(text: str, words: Words) -> list[tuple[list[int], bool]]:
     """(abstract tokens, ended by a stop) of each sentence."""
     out, now = [], []
     found = _TOKEN.findall(text.lower())
@@ -110,30 +123,45 @@ def _shifts(flat: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [*out, flat[begin] if len(flat) else flat, second]
 
 
-def contexts(texts: DataFrame, words: dict[str, int]) -> DataFrame:
-    """key, ends, seen of every context in the sentences of texts(text) that a stop ends."""
+#: Texts without a final stop count as ends of their tails from so many different texts on.
+FINALS = 12
+#: Texts of so few words are brief, not cut.
+BRIEF = 2
+
+
+def contexts(texts: DataFrame, words: Words) -> DataFrame:
+    """key, ends, finals, seen of every context in the sentences of texts(text): how often a stop
+    ends it, how often the text ends there without a stop, and how often it occurs. A text that
+    ends in a part of a frequent word or in an unknown short word is no final."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tokens: list[int] = []
             begin: list[int] = []
-            last: list[int] = []
+            stopped: list[int] = []
+            final: list[int] = []
             for t in pdf["text"]:
                 for s, ended in _sentences(t, words):
+                    begin.extend([len(tokens)] * len(s))
+                    tokens.extend(s)
                     if ended:
-                        begin.extend([len(tokens)] * len(s))
-                        tokens.extend(s)
-                        last.append(len(tokens) - 1)
+                        stopped.append(len(tokens) - 1)
+                    elif s[-1] not in (_PART, _SHORT):
+                        final.append(len(tokens) - 1)
             flat, b = np.array(tokens, np.int64), np.array(begin, np.int64)
-            end = np.zeros(len(flat), np.int64)
-            end[last] = 1
+            end, fin = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+            end[stopped] = 1
+            fin[final] = 1
             t0, t1, t2, t3, first, second = _shifts(flat, b)
             keys = np.concatenate(_pack(first, second, t2, t1, t0, t3)) if len(flat) else flat
-            ends = np.tile(end, 4) if len(flat) else end
             u, inverse, seen = np.unique(keys, return_inverse=True, return_counts=True)
-            yield pd.DataFrame({"key": u, "ends": np.bincount(inverse, ends, len(u)).astype(np.int64) if len(u) else u, "seen": seen.astype(np.int64)})
+            count = lambda x: np.bincount(inverse, np.tile(x, 4), len(u)).astype(np.int64) if len(u) else u  # noqa: E731,B023
+            yield pd.DataFrame({"key": u, "ends": count(end), "finals": count(fin), "seen": seen.astype(np.int64)})
 
-    return spread(texts.select("text").filter("text IS NOT NULL")).mapInPandas(run, "key bigint, ends bigint, seen bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
+    return (
+        spread(texts.select("text").filter("text IS NOT NULL")).mapInPandas(run, "key bigint, ends bigint, finals bigint, seen bigint")
+        .groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("finals").alias("finals"), F.sum("seen").alias("seen"))
+    )
 
 
 #: A remark after the text: in brackets, or a signature or version after a dash.
@@ -160,13 +188,13 @@ def is_open(text: str) -> bool:
     return line.count('"') % 2 == 1 and not line.rstrip().endswith('"')
 
 
-def look(text: str, words: dict[str, int]) -> tuple[bool, bool, bool, list[int]]:
+def look(text: str, words: Words) -> tuple[bool, bool, bool, list[int]]:
     """(ended by a stop, marked as cut, open, the four context keys of the tail)."""
     t = text.strip()
     bare = unmarked(t)
     marked = bare != t
     plain = _REMARK.sub("", bare)
-    ended = not marked and bool(_STOP.search(t) or _STOP.search(plain)) or not bare
+    ended = not marked and bool(_STOP.search(t) or _STOP.search(plain) or len(t.split()) <= BRIEF) or not bare
     got = _sentences(bare, words)
     if not got:
         return ended, marked, False, [0, 0, 0, 0]
@@ -177,7 +205,7 @@ def look(text: str, words: dict[str, int]) -> tuple[bool, bool, bool, list[int]]
     return ended, marked, is_open(bare), [int(k[0]) for k in keys]
 
 
-def tails(texts: DataFrame, keys: list[str], words: dict[str, int]) -> DataFrame:
+def tails(texts: DataFrame, keys: list[str], words: Words) -> DataFrame:
     """texts(keys, text) -> keys, ended, marked, open, k0..k3. A null text is ended."""
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keys).schema), "ended boolean, marked boolean, open boolean, k0 bigint, k1 bigint, k2 bigint, k3 bigint"])
 
@@ -200,7 +228,7 @@ def end_chance(tail: DataFrame, counts: DataFrame, least: int = skew.HOT_ROWS) -
     distinct = tail.select("k0", "k1", "k2", "k3").distinct()
     one = distinct.select(pattern.alias("pattern"), F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("order", "key"))
     scored = skew.lookup(one, counts, "key", least=least).groupBy("pattern").agg(
-        *[F.max(F.when(F.col("order") == i, F.col("ends"))).alias(f"e{i}") for i in range(4)], *[F.max(F.when(F.col("order") == i, F.col("seen"))).alias(f"n{i}") for i in range(4)]
+        *[F.max(F.when(F.col("order") == i, F.col("ends") + F.when(F.col("finals") >= FINALS, F.col("finals") - 1).otherwise(0))).alias(f"e{i}") for i in range(4)], *[F.max(F.when(F.col("order") == i, F.col("seen"))).alias(f"n{i}") for i in range(4)]
     )
     p: Column = F.lit(UNKNOWN)
     for i in (3, 2, 1, 0):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import conversations, leaks, neardup, subjects, truncation
+from . import answers, conversations, leaks, neardup, subjects, truncation
 
 
 def _messages(s, d):
@@ -31,6 +31,10 @@ def _cut_tables(s, d):
     return table(s, d, "episodes", "id", "text", "metadata"), table(s, d, "ingestion_decisions", "decision_id", "source", "episode_text", "source_text")
 
 
+def _pair_tables(s, d):
+    return table(s, d, "messages", "id", "session_id", "role", "content", "timestamp"), table(s, d, "turns", "turn_id", "session_id", "role", "content", "timestamp")
+
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "p1_found": (lambda s, d: conversations.found(_messages(s, d)), None),
     "p1_conversations": (lambda s, d: conversations.conversations(_messages(s, d)), None),
@@ -38,6 +42,8 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "p2_found": (lambda s, d: truncation.found(*_cut_tables(s, d)), None),
     "p2_report": (lambda s, d: truncation.report(*_cut_tables(s, d)), None),
     "p4_found": (lambda s, d: neardup.similar_pairs(_texts(s, d)), None),
+    "p5_found": (lambda s, d: answers.found(*_pair_tables(s, d)), None),
+    "p5_report": (lambda s, d: answers.report(*_pair_tables(s, d)), None),
     "p7_found": (lambda s, d: leaks.found(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "text")), None),
     "p7_report": (lambda s, d: leaks.report(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "text")), None),
     "p9_found": (lambda s, d: subjects.found(*_subject_tables(s, d)), None),
