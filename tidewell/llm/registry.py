@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import answers, conversations, leaks, neardup, subjects, truncation
+from . import answers, conversations, leaks, neardup, personal, subjects, truncation
 
 
 def _messages(s, d):
@@ -35,6 +35,10 @@ def _pair_tables(s, d):
     return table(s, d, "messages", "id", "session_id", "role", "content", "timestamp"), table(s, d, "turns", "turn_id", "session_id", "role", "content", "timestamp")
 
 
+def _free_text(s, d):
+    return personal.records(table(s, d, "messages", "id", "content"), table(s, d, "cold_memories", "id", "text"), table(s, d, "facts", "id", "content"), table(s, d, "episodes", "id", "text"))
+
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "p1_found": (lambda s, d: conversations.found(_messages(s, d)), None),
     "p1_conversations": (lambda s, d: conversations.conversations(_messages(s, d)), None),
@@ -44,6 +48,8 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "p4_found": (lambda s, d: neardup.similar_pairs(_texts(s, d)), None),
     "p5_found": (lambda s, d: answers.found(*_pair_tables(s, d)), None),
     "p5_report": (lambda s, d: answers.report(*_pair_tables(s, d)), None),
+    "p6_found": (lambda s, d: personal.found(_free_text(s, d)), None),
+    "p6_redacted": (lambda s, d: personal.redact(_free_text(s, d)), None),
     "p7_found": (lambda s, d: leaks.found(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "text")), None),
     "p7_report": (lambda s, d: leaks.report(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "text")), None),
     "p9_found": (lambda s, d: subjects.found(*_subject_tables(s, d)), None),
