@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import answers, conversations, leaks, neardup, personal, subjects, truncation
+from . import answers, conversations, leaks, mixing, neardup, personal, subjects, truncation
 
 
 def _messages(s, d):
@@ -39,6 +39,10 @@ def _free_text(s, d):
     return personal.records(table(s, d, "messages", "id", "content"), table(s, d, "cold_memories", "id", "text"), table(s, d, "facts", "id", "content"), table(s, d, "episodes", "id", "text"))
 
 
+def _mix_tables(s, d):
+    return table(s, d, "documents", "doc_id", "source", "text"), table(s, d, "mix_targets")
+
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "p1_found": (lambda s, d: conversations.found(_messages(s, d)), None),
     "p1_conversations": (lambda s, d: conversations.conversations(_messages(s, d)), None),
@@ -52,6 +56,8 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "p6_redacted": (lambda s, d: personal.redact(_free_text(s, d)), None),
     "p7_found": (lambda s, d: leaks.found(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "text")), None),
     "p7_report": (lambda s, d: leaks.report(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "text")), None),
+    "p8_mix": (lambda s, d: mixing.mix(*_mix_tables(s, d)), None),
+    "p8_report": (lambda s, d: mixing.report(*_mix_tables(s, d)), None),
     "p9_found": (lambda s, d: subjects.found(*_subject_tables(s, d)), None),
     "p9_composition": (lambda s, d: subjects.composition(*_subject_tables(s, d)), None),
     "p4_groups": (lambda s, d: neardup.groups(_texts(s, d)), None),
