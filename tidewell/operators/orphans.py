@@ -94,7 +94,7 @@ def found(log: DataFrame, episodes: DataFrame, archive: DataFrame) -> DataFrame:
 
 def report(log: DataFrame, episodes: DataFrame, archive: DataFrame, table: str = "access_log") -> DataFrame:
     """Orphan references per table, month of first access (UTC; null where unknown) and state."""
-    month = F.date_format(F.timestamp_micros((F.col("at") * 1e6).cast("long")), "yyyy-MM")
+    month = F.substring(F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, at)").cast("string"), 1, 7)
     return (
         reference_states(log, episodes, archive)
         .groupBy(F.lit(table).alias("table_name"), month.alias("month"), "state")

@@ -83,3 +83,19 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     for n in sums:
         out = out.withColumn(n, (F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).cast(T.LongType()))
     return out.drop("_kb", *[f"_k{i}" for i in range(len(keys))], *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str = "_prev") -> DataFrame:
+    """Adds `name`: a struct of `columns` of the row before along `order` within keys, over rows that
+    carry _block (see with_blocks); the last row of each block is handed to the next one."""
+    w = Window.partitionBy(*keys, "_block").orderBy(*order)
+    value = F.struct(*columns)
+    ends = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb")).agg(F.max(F.struct(*order, value.alias("_v"))).alias("_e"))
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_kb")
+    # one row a block of the keys that with_blocks cut: a bounded number
+    carried = ends.withColumn("_carry", F.lag("_e._v").over(before)).filter("_kb > 0").drop("_e")
+    cond = F.col("_block") == F.col("_kb")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = df.withColumn(name, F.lag(value).over(w)).join(F.broadcast(carried), cond, "left")
+    return out.withColumn(name, F.coalesce(name, "_carry")).drop("_carry", "_kb", *[f"_k{i}" for i in range(len(keys))])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import references
+from . import kernels, memory, references
 
-MODULES = [references]
-FLAGSHIP = "p3_found"
+MODULES = [references, kernels, memory]
+FLAGSHIP = "w2_context_window"
 
 
 def queries() -> dict[str, Callable]:
