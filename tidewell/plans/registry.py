@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import kernels, memory, references
+from . import analytics, kernels, memory, references
 
-MODULES = [references, kernels, memory]
+MODULES = [references, kernels, memory, analytics]
 FLAGSHIP = "w2_context_window"
 
 
