@@ -81,3 +81,12 @@ def contains_any(docs: DataFrame, queries: DataFrame, text: str, n: int) -> Data
     # a fixed set of stated queries against all rows
     x = docs.join(F.broadcast(q), F.exists("q", lambda w: F.contains(F.lower(T.text(text)), w)))
     return top(x.withColumn("score", F.round(T.coverage_score(F.col("q"), T.long_tokens(F.col(text))), 9)).filter("score > 0").select("query_id", "id", "score"), n)
+
+
+def by_overlap(docs: DataFrame, queries: DataFrame, text: str, n: int) -> DataFrame:
+    """The n documents of each query that hold the largest share of its long words (none held: no
+    row). Words meet in an equi-join, so no document is set against a query it shares nothing with."""
+    q = queries.select("query_id", F.explode(T.long_set(F.col("query"))).alias("term")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    d = docs.select("id", F.explode(T.long_set(F.col(text))).alias("term"))
+    x = d.join(F.broadcast(q.limit(MAX_QUERY_TERMS)), "term") if q.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS else d.join(q, "term")
+    return top(x.groupBy("query_id", "id").agg(F.round(F.count(F.lit(1)) / F.max("_n"), 9).alias("score")), n)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import analytics, kernels, memory, references
+from . import analytics, kernels, knowledge, memory, references, scans, streams
 
-MODULES = [references, kernels, memory, analytics]
+MODULES = [references, kernels, memory, analytics, knowledge, scans, streams]
 FLAGSHIP = "w2_context_window"
 
 
