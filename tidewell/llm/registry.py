@@ -43,13 +43,36 @@ def _mix_tables(s, d):
     return table(s, d, "documents", "doc_id", "source", "text"), table(s, d, "mix_targets")
 
 
+_INVISIBLE = r"[\s\p{Z}\p{C}\x{115f}\x{1160}\x{2800}\x{3164}]+"
+_P1 = rf"""
+WITH a AS (
+  SELECT session_id, id, regexp_replace(coalesce(content, ''), '^{_INVISIBLE}|{_INVISIBLE}$', '', 'g') AS c, lower(regexp_replace(coalesce(role, ''), '^{_INVISIBLE}|{_INVISIBLE}$', '', 'g')) AS r,
+    CASE WHEN "timestamp" > 1e11 THEN "timestamp" / 1000 ELSE "timestamp" END AS ts, try_cast(json_extract_string(metadata, '$.turn') AS BIGINT) AS turn FROM messages
+), b AS (
+  SELECT *, NOT (c = '' OR regexp_matches(c, '^[\p{{Pd}}_.·•…*~/\\\s?]+$') AND NOT regexp_matches(c, '^\s*\?+\s*$') OR lower(c) IN ({", ".join("'" + w + "'" for w in conversations.NOTHING)})) AS said,
+    CASE {" ".join(f"WHEN r IN ({', '.join(repr(x) for x in w)}) THEN '{n}'" for n, w in conversations.ROLES.items())} END AS sp FROM a
+), s AS (
+  SELECT session_id, count(*) AS rows, coalesce(bool_or(said AND sp IN ('user', 'assistant')), false) AS any_said, coalesce(bool_or(said AND sp IS NULL), false) AS stranger, coalesce(bool_or(NOT said AND sp = 'assistant'), false) AS blank_reply,
+    arg_min(sp, (ts, id)) FILTER (said AND sp IN ('user', 'assistant')) AS first, arg_max(sp, (ts, id)) FILTER (said AND sp IN ('user', 'assistant')) AS last,
+    count(DISTINCT turn) AS n, min(turn) AS lo, max(turn) AS hi FROM b GROUP BY 1
+), v AS (
+  SELECT session_id, rows, CASE WHEN NOT any_said THEN 'empty' WHEN stranger THEN 'unknown speaker' WHEN blank_reply THEN 'blank reply' WHEN first <> 'user' THEN 'no opening' WHEN last <> 'assistant' THEN 'no reply' WHEN n > 0 AND (lo <> 0 OR hi - lo + 1 <> n) THEN 'rows missing' END AS reason FROM s
+)
+"""
+_P4 = r"""
+WITH r AS (SELECT row_number() OVER () AS k, id, text FROM (SELECT id, text FROM episodes UNION SELECT id, text FROM cold_memories UNION SELECT id, content FROM facts) WHERE id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT k, id, w, count(*) AS c FROM (SELECT k, id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM r) GROUP BY ALL), n AS (SELECT k, sum(c) AS n FROM c GROUP BY 1),
+p AS (SELECT a.k AS ka, b.k AS kb, a.id AS id_a, b.id AS id_b, sum(least(a.c, b.c)) AS s FROM c a JOIN c b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
+SELECT DISTINCT id_a, id_b FROM p JOIN n x ON x.k = ka JOIN n y ON y.k = kb WHERE s / (x.n + y.n - s) >= 0.8
+"""
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
-    "p1_found": (lambda s, d: conversations.found(_messages(s, d)), None),
+    "p1_found": (lambda s, d: conversations.found(_messages(s, d)), _P1 + "SELECT DISTINCT session_id FROM v WHERE reason IS NOT NULL"),
     "p1_conversations": (lambda s, d: conversations.conversations(_messages(s, d)), None),
-    "p1_report": (lambda s, d: conversations.report(_messages(s, d)), None),
+    "p1_report": (lambda s, d: conversations.report(_messages(s, d)), _P1 + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS sessions, sum(rows)::BIGINT AS rows FROM v GROUP BY 1"),
     "p2_found": (lambda s, d: truncation.found(*_cut_tables(s, d)), None),
     "p2_report": (lambda s, d: truncation.report(*_cut_tables(s, d)), None),
-    "p4_found": (lambda s, d: neardup.similar_pairs(_texts(s, d)), None),
+    "p4_found": (lambda s, d: neardup.similar_pairs(_texts(s, d)), _P4),
     "p5_found": (lambda s, d: answers.found(*_pair_tables(s, d)), None),
     "p5_report": (lambda s, d: answers.report(*_pair_tables(s, d)), None),
     "p6_found": (lambda s, d: personal.found(_free_text(s, d)), None),
