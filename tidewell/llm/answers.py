@@ -67,13 +67,15 @@ _COURTESY = re.compile("|".join(COURTESY))
 _REAL = re.compile(r"\bcannot stress\b|\bcan'?t stress\b|\bcannot recommend\b.*\benough\b")
 _SPLIT = re.compile(r"(?<=[.!?;])\s+|\n+")
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|https?://\S+|\S+@\S+|\b\w+\(\)", re.S)
+#: A refusal is judged clause by clause: what follows a "but" may be an answer.
+_CLAUSE = re.compile(r"(?<=[.!?;])\s+|\n+|,?\s+(?:but|aber|mais|pero)\s+")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def is_refusal(text: str) -> bool:
     """Nothing but a refusal to answer."""
     refused = False
-    for s in _SPLIT.split(text.lower().replace("’", "'").strip()):
+    for s in _CLAUSE.split(text.lower().replace("’", "'").strip()):
         s = s.strip(" .!?;*_\"'`>")
         if not s:
             continue

@@ -63,10 +63,11 @@ def dictionary(texts: DataFrame, least: int = 5, most: int = 20_000) -> dict[str
     per = spread(texts).mapInPandas(run, "w string, lang string, n bigint").groupBy("w").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(x) for x in LANGS])
     total = sum((F.col(x) for x in LANGS), F.lit(0))
     rows = per.withColumn("n", total).filter(F.col("n") >= max(least, docs // 2000)).orderBy(F.desc("n"), "w").limit(most).collect()
-    sizes = np.array([max(1, sum(r[x] for r in rows)) for x in LANGS], float)
+    sizes = np.array([sum(r[x] for r in rows) for x in LANGS], float)
     out = {}
     for r in rows:
-        p = (np.array([r[x] for x in LANGS], float) + 0.3) / sizes
+        # a language that the corpus lacks is out of the question
+        p = np.where(sizes > 0, (np.array([r[x] for x in LANGS], float) + 0.3) / (sizes + 0.3 * len(rows)), 1e-12)
         out[r.w] = np.log(p / p.mean())
     return out
 
