@@ -81,7 +81,7 @@ def centroids(rows: DataFrame, lists: int, seed: int = 1) -> np.ndarray:
     return c
 
 
-def nearest_indexed(rows: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 8) -> DataFrame:
+def nearest_indexed(rows: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 12) -> DataFrame:
     """As nearest, reading only the `probes` lists nearest to each query. Every row is indexed."""
     c = centroids(rows, lists)
 

@@ -74,6 +74,15 @@ def _edges(s, d):
 _EDGE = L.SQL + ", ed AS (SELECT DISTINCT session_id AS a, project_id AS b FROM eps WHERE session_id IS NOT NULL AND session_id <> 'unknown' AND project_id IS NOT NULL), bw AS (SELECT a AS src, b AS dst FROM ed UNION SELECT b, a FROM ed)"
 
 
+def _bfs(start, goal, longest):
+    """SQL for the first shortest path: one level per hop, the least path to each node not seen before."""
+    out = f", b0 AS (SELECT '{start}' AS node, ['{start}'] AS path)"
+    for h in range(1, longest + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM b{i}" for i in range(h))
+        out += f", b{h} AS (SELECT dst AS node, min(list_append(path, dst)) AS path FROM b{h - 1} JOIN bw ON src = node WHERE node <> '{goal}' AND dst NOT IN ({seen}) GROUP BY 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT array_to_string(path, '>') AS path, {h}::INT AS length FROM b{h} WHERE node = '{goal}'" for h in range(1, longest + 1))
+
+
 def _ev(s, d):
     return table(s, d, "events", "event_id", "user_id", "event_type", "ts").select("event_id", "user_id", "event_type", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1e6).alias("ts"))
 
@@ -97,7 +106,7 @@ QUERIES = {
     ),
     "g5_shortest": (
         lambda s, d: G.shortest(G.both_ways(_edges(s, d)), "atlas-notes", "kitchen-ai"),
-        _EDGE + " SELECT min(p) AS path, 2 AS length FROM (SELECT 'atlas-notes>' || x.dst || '>' || y.dst AS p FROM bw x JOIN bw y ON y.src = x.dst WHERE x.src = 'atlas-notes' AND y.dst = 'kitchen-ai') HAVING min(p) IS NOT NULL",
+        _EDGE + _bfs("atlas-notes", "kitchen-ai", 5),
     ),
     "g7_sequences": (
         lambda s, d: G.sequences(_ev(s, d), "user_id", "event_type", "ts").select("src", "dst", "freq", F.round("delay", 3).alias("delay")),
