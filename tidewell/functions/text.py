@@ -108,10 +108,9 @@ def pair_digest(a: Column, b: Column) -> Column:
 
 def expanded(terms: Column) -> Column:
     """A set of terms with the synonyms of its members."""
-    out = terms
-    for word, more in SYNONYMS.items():
-        out = F.when(F.array_contains(terms, word), F.array_union(out, F.array(*map(F.lit, more)))).otherwise(out)
-    return out
+    none = F.array().cast("array<string>")
+    more = [F.when(F.array_contains(terms, word), F.array(*map(F.lit, also))).otherwise(none) for word, also in SYNONYMS.items()]
+    return F.array_distinct(F.concat(terms, *more))
 
 
 def expanded_query(c: Column) -> Column:

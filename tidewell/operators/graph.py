@@ -31,6 +31,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def shortest(edges: DataFrame, start: str, goal: str, longest: int = 5) -> DataFrame:
     """The first shortest path by node names as one row: path, length; no row if there is none within
     `longest`. Per node only its least path of each length goes on."""
+    edges = cut(edges, "edges")
     front = edges.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = front.select("node")
     out = None

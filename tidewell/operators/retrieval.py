@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..session import cut
 from . import lexical
 
 #: Tokens per layer, and candidates per query in all.
@@ -91,7 +92,8 @@ def select(candidates: DataFrame, budget: int, duplicate: float = 0.84, similar:
 
 def retrieve(episodes: DataFrame, facts: DataFrame, archive: DataFrame, queries: DataFrame, as_of: float, budget: int = 1600) -> DataFrame:
     """The whole: episodic and semantic candidates, cold ones for the queries that need them, selected."""
-    warm = episodic(episodes, queries, as_of).unionByName(semantic(facts, queries, as_of))
+    # read by the gate and by the selection
+    warm = cut(episodic(episodes, queries, as_of).unionByName(semantic(facts, queries, as_of)), "warm")
     more = cold(archive, queries, as_of).join(F.broadcast(needs_cold(warm, queries, budget)), "query_id", "left_semi")
     return select(warm.unionByName(more), budget)
 
