@@ -127,3 +127,25 @@ def cooccurrences(terms: DataFrame, least: int = 1) -> DataFrame:
     per = terms.groupBy("id", "sent").agg(F.array_sort(F.collect_set(T.entity(F.col("term")))).alias("e"))
     p = per.select(F.explode(F.flatten(F.transform("e", lambda a, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b").filter("a <> '' AND b <> ''")
     return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
+
+
+def payloads(found: DataFrame) -> DataFrame:
+    """Statements as fact texts: "[RELATION] subject", one per relation and beginning of the subject,
+    the first by id. found: id, relation, subject, confidence."""
+    key = F.substring("subject", 1, 40).alias("_head")
+    first = found.groupBy("relation", key).agg(F.min_by(F.struct("id", "subject", "confidence"), F.struct("id", "subject")).alias("r"))
+    return first.select("r.id", "relation", F.substring(F.concat(F.lit("["), "relation", F.lit("] "), "r.subject"), 1, 320).alias("content"), "r.confidence")
+
+
+def search_relations(rel: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
+    """The n relations of each query by coverage of its long words times confidence; words meet in an
+    equi-join, so what shares no word is never scored. rel: relation, object, confidence."""
+    words = T.long_set(F.col("query"))
+    q = queries.select("query_id", F.explode(words).alias("term"), F.size(words).alias("_q"))
+    own = T.long_set(F.col("object"))
+    r = rel.select("relation", "object", "confidence", F.explode(own).alias("term"), F.size(own).alias("_t"))
+    hit = r.join(q, "term").groupBy("query_id", "relation", "object").agg(F.count(F.lit(1)).alias("h"), F.max("_q").alias("_q"), F.max("_t").alias("_t"), F.max("confidence").alias("confidence"))
+    score = F.least(F.lit(1.0), 0.7 * F.col("h") / F.col("_q") + 0.3 * F.col("h") / F.col("_t")) * F.col("confidence")
+    x = hit.withColumn("score", F.round(score, 9))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "object", "relation")
+    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", "relation", "object", "score", "rank")

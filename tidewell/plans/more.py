@@ -10,7 +10,7 @@ from ..operators import lifecycle, records, retrieval, vectors
 from ..sources import logical as L
 from ..sources.tables import table
 from .kernels import AS_OF, split, tok
-from .knowledge import _SENT, _TERMS, _docs
+from .knowledge import _REL, _SENT, _STMT, _TERMS, QUERIES as KNOWLEDGE, _docs
 from .memory import QSQL, bm25_sql, queries_df
 
 
@@ -91,6 +91,16 @@ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 x AS (SELECT query_id, id, text, ts, {split('query')} AS q0, {split('text')} AS cs, {tok('text')} AS rt FROM c JOIN coldm USING (id) JOIN q USING (query_id)), y AS (SELECT *, CASE WHEN list_contains(q0, 'preference') THEN list_distinct(list_concat(q0, ['prefer', 'favorite', 'like'])) ELSE q0 END AS qs FROM x)
 SELECT query_id::BIGINT AS query_id, id, greatest(1, length(text) // 4)::INT AS tokens, round(0.42 * CASE WHEN len(qs) > 0 AND len(cs) > 0 THEN len(list_intersect(qs, cs)) / len(qs) ELSE 0 END + 0.10 * greatest(0.0, 1 - least(greatest(0.0, ({AS_OF} - ts) / 86400.0) / 365.0, 1.0)) + 0.08 * CASE WHEN len(rt) > 0 THEN len(list_filter(rt, lambda t: list_contains(qs, t))) / len(rt) ELSE 0 END + 0.10, 6) AS score FROM y"""
 
+#: Sentences appended by length, so that there are relations with words to search for.
+SAID = ["I use PyCharm as my primary editor.", "FastAPI is a framework for building services.", "I prefer pytest over unittest."]
+
+
+def _said(s, d):
+    c = F.col("content")
+    return L.facts(s, d).select("id", F.concat(c, F.lit(" "), F.element_at(F.array(*map(F.lit, SAID)), (F.length(c) % 3 + 1).cast("int"))).alias("text"))
+
+
+_REL_SAID = _REL.replace("AS p FROM fcts)", "AS p FROM (SELECT id, content || ' ' || CASE length(content) % 3 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(SAID)) + " END AS content FROM fcts))")
 
 QUERIES = {
     "g30_trial_metrics": (
@@ -136,6 +146,15 @@ QUERIES = {
         lambda s, d: retrieval.needs_cold(retrieval.episodic(L.episodes(s, d), queries_df(s), AS_OF), queries_df(s), 3000),
         L.SQL + QSQL + bm25_sql("eps", "text") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rk FROM bm), t AS (SELECT query_id, sum(greatest(1, length(text) // 4)) AS tok FROM r JOIN eps USING (id) WHERE rk <= 15 GROUP BY 1) SELECT query_id::BIGINT AS query_id FROM q LEFT JOIN t USING (query_id) WHERE coalesce(tok, 0) = 0 OR tok < 160",
     ),
+    "x7_payloads": (
+        lambda s, d: E.payloads(KNOWLEDGE["x6_statements"][0](s, d)),
+        f"SELECT id, relation, substr('[' || relation || '] ' || subject, 1, 320) AS content, confidence FROM (SELECT *, row_number() OVER (PARTITION BY relation, substr(subject, 1, 40) ORDER BY id, subject) AS rn FROM ({_STMT})) WHERE rn = 1",
+    ),
+    "x19_relation_search": (
+        lambda s, d: E.search_relations(E.relations(_said(s, d)).filter("subject = 'root'"), s.createDataFrame([(0, "which editor: pycharm"), (1, "pytest and fastapi"), (2, "")], "query_id bigint, query string")).select("query_id", "relation", "object", F.round("score", 6).alias("score"), "rank"),
+        f"""WITH rl AS (SELECT relation, object, confidence, list_distinct(list_filter({tok('object')}, lambda x: length(x) > 2)) AS t FROM ({_REL_SAID}) WHERE subject = 'root'), qq AS (SELECT query_id::BIGINT AS query_id, list_distinct(list_filter({tok('query')}, lambda x: length(x) > 2)) AS q FROM (VALUES (0, 'which editor: pycharm'), (1, 'pytest and fastapi'), (2, '')) AS v(query_id, query)),
+        sc AS (SELECT query_id, relation, object, round(least(1.0, 0.7 * len(list_intersect(q, t)) / len(q) + 0.3 * len(list_intersect(q, t)) / len(t)) * confidence, 9) AS score FROM qq JOIN rl ON len(list_intersect(q, t)) > 0), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object, relation)::INT AS rank FROM sc) SELECT query_id, relation, object, round(score, 6) AS score, rank FROM rr WHERE rank <= 8""",
+    ),
     "x33_hint": (
         lambda s, d: L.runs(s, d).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.max_by("duration", F.struct("ts", "run_id")).alias("last"), F.avg("duration").alias("mean")).select("task", F.when(F.col("n") < 50, "cold").when(F.col("last") / F.col("mean") < 0.7, "familiar").when(F.col("last") / F.col("mean") > 1.5, "novel").otherwise("neutral").alias("hint")),
         L.SQL + "SELECT task, CASE WHEN count(*) < 50 THEN 'cold' WHEN arg_max(duration, (ts, run_id)) / avg(duration) < 0.7 THEN 'familiar' WHEN arg_max(duration, (ts, run_id)) / avg(duration) > 1.5 THEN 'novel' ELSE 'neutral' END AS hint FROM runs GROUP BY 1",
