@@ -138,10 +138,10 @@ def groups(records: DataFrame, threshold: float = 0.8, rounds: int = 40, **how)
     sym = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
     label = cut(members.select(F.col("cls").alias("x")).distinct().withColumn("label", F.col("x")), "label")
     for _ in range(rounds):
-        least = sym.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("other"))
+        least = skew.lookup(sym, label.withColumnRenamed("x", "y"), "y", "inner").groupBy("x").agg(F.min("label").alias("other"))
         step = label.join(least, "x", "left").select("x", F.least("label", "other").alias("label"))
         step = cut(step, "label")
-        jump = step.join(step.select(F.col("x").alias("label"), F.col("label").alias("root")), "label", "left").select("x", F.least("label", "root").alias("label"))
+        jump = skew.lookup(step, step.select(F.col("x").alias("label"), F.col("label").alias("root")), "label").select("x", F.least("label", "root").alias("label"))
         jump = cut(jump, "label")
         moved = jump.join(label.withColumnRenamed("label", "old"), "x").filter("label <> old").limit(1).count()
         label = jump

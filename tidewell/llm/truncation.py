@@ -85,7 +85,8 @@ def judged(episodes: DataFrame, decisions: DataFrame) -> DataFrame:
     # copies of one text say nothing new about a limit
     lengths = t.select("source", "same", "chars", "bytes", "ended").distinct().select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("u"), "ended").select("source", "u.unit", "u.length", "ended")
     significant = cut(limits(lengths), "limits")
-    one = lambda unit: F.broadcast(significant.filter(F.col("unit") == unit).orderBy("p").limit(10_000).select(F.col("source").alias(f"_s_{unit}"), F.col("length").alias(f"_l_{unit}")))
+    small = F.broadcast if significant.count() <= 10_000 else (lambda x: x)
+    one = lambda unit: small(significant.filter(F.col("unit") == unit).select(F.col("source").alias(f"_s_{unit}"), F.col("length").alias(f"_l_{unit}")))
     for unit in ("chars", "bytes"):
         t = t.join(one(unit), F.col("source").eqNullSafe(F.col(f"_s_{unit}")) & (F.col(unit) == F.col(f"_l_{unit}")), "left")
     t = t.withColumn("at_limit", F.col("_l_chars").isNotNull() | F.col("_l_bytes").isNotNull()).drop("_s_chars", "_l_chars", "_s_bytes", "_l_bytes")
