@@ -34,21 +34,17 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
     """query_id, id, bm25 (positive; larger is better) of every document that holds a query term.
     Only postings of query terms leave the scan: the broadcast join comes before the shuffle."""
     terms = query_terms(queries)
-    if terms.limit(MAX_QUERY_TERMS + 1).count() > MAX_QUERY_TERMS:
-        joined = lambda p: p.join(terms, "term")
-        wanted = lambda p: p.join(terms.select("term").distinct(), "term", "left_semi")
-    else:
-        joined = lambda p: p.join(F.broadcast(terms), "term")
-        wanted = lambda p: p.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    # what has at most one row per query term is broadcast only while there are few of them
+    small = F.broadcast if terms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS else (lambda x: x)
     words = F.regexp_extract_all(F.lower(T.text(text)), F.lit("[a-z0-9_]+"), F.lit(0))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words)).alias("mean"))
-    flat = wanted(docs.select("id", F.size(words).alias("dl"), F.explode(words).alias("term")))
+    flat = docs.select("id", F.size(words).alias("dl"), F.explode(words).alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
     p = flat.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, mean = size.select("n").scalar(), size.select("mean").scalar()
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    return joined(p.join(F.broadcast(df), "term")).groupBy("query_id", "id").agg(F.sum(s).alias("bm25"))
+    return p.join(small(df), "term").join(small(terms), "term").groupBy("query_id", "id").agg(F.sum(s).alias("bm25"))
 
 
 def top(scored: DataFrame, n: int, score: str = "score", key: str = "query_id") -> DataFrame:
@@ -69,7 +65,7 @@ def retrieve_cold(docs: DataFrame, queries: DataFrame, as_of: float, n: int = 10
 def semantic_live(facts: DataFrame, queries: DataFrame, n: int = 8, per_type: int = 20) -> DataFrame:
     """Facts by .6 of their BM25 relative to the query's best plus .4 of the overlap, at most 1."""
     best = top(bm25(facts, queries, "content").withColumn("bm25", F.round("bm25", 9)), per_type, "bm25").withColumn("top", F.max("bm25").over(Window.partitionBy("query_id"))).drop("rank")
-    x = best.join(facts.select("id", "content"), "id").join(F.broadcast(queries), "query_id")
+    x = best.join(facts.select("id", "content"), "id").join(queries, "query_id")
     s = F.least(F.lit(1.0), 0.6 * F.col("bm25") / F.col("top") + 0.4 * T.overlap(T.long_set(F.col("query")), T.long_set(F.col("content"))))
     return top(x.select("query_id", "id", F.round(s, 9).alias("score")), n)
 
@@ -78,7 +74,9 @@ def contains_any(docs: DataFrame, queries: DataFrame, text: str, n: int) -> Data
     """Documents that contain any of a query's long words as a substring, scored by coverage and
     density of the words; score 0 is dropped."""
     q = queries.select("query_id", F.array_distinct(T.long_tokens(F.col("query"))).alias("q")).filter(F.size("q") > 0)
-    # a fixed set of stated queries against all rows
+    # a fixed set of stated queries against all rows, in one block: more than MAX_QUERY_TERMS is refused
+    if q.limit(MAX_QUERY_TERMS + 1).count() > MAX_QUERY_TERMS:
+        raise ValueError("too many queries for a substring search; ask in blocks")
     x = docs.join(F.broadcast(q), F.exists("q", lambda w: F.contains(F.lower(T.text(text)), w)))
     return top(x.withColumn("score", F.round(T.coverage_score(F.col("q"), T.long_tokens(F.col(text))), 9)).filter("score > 0").select("query_id", "id", "score"), n)
 

@@ -24,9 +24,9 @@ def scored(episodes: DataFrame, log: DataFrame, as_of: float) -> DataFrame:
     """id, project_id, importance, ts, age_days, hits, score (9 decimals) of every episode."""
     a = access(log).select(F.col("episode_id").alias("id"), "hits")
     e = skew.lookup(episodes.select("id", "project_id", "text", "ts", "metadata", F.coalesce("importance", F.lit(0.5)).alias("importance")), a, "id").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    # the most hits of a project: one row per project, whatever the skew of projects
-    most = e.groupBy("project_id").agg(F.max("hits").alias("_most")).withColumnRenamed("project_id", "_p")
-    e = e.join(F.broadcast(most.orderBy(F.desc("_most"), "_p").limit(100_000)), F.col("project_id").eqNullSafe(F.col("_p")), "left")
+    # the most hits of a project, pre-aggregated; rows of a hot project meet it spread over tasks
+    e = e.withColumn("_p", F.coalesce("project_id", F.lit("\x00")))
+    e = skew.lookup(e, e.groupBy("_p").agg(F.max("hits").alias("_most")), "_p")
     age = S.age_days(as_of, F.col("ts"))
     surprise = F.expr("try_cast(get_json_object(metadata, '$.neural_surprise') AS DOUBLE)")
     score = S.retention(age, F.col("importance"), F.col("hits"), F.col("_most"), surprise)

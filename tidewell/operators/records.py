@@ -9,6 +9,7 @@ from pyspark.sql import types as Ty
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import skew
 
 #: Markers of the memory block in a prompt.
 BEGIN, END = "----- BEGIN RETRIEVED MEMORY -----", "----- END RETRIEVED MEMORY -----"
@@ -53,16 +54,22 @@ def cached_vectors(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
 
 
 def similar_exists(new: DataFrame, old: DataFrame, least: float = 0.9) -> DataFrame:
-    """new(id, content) with a row of old(content) that is equal in normal form or whose tokens have a
-    Jaccard similarity of at least `least`. Candidates share the rarest-looking of their first tokens:
-    two sets this similar share one of their ceil((1 - least) n) + 1 smallest tokens, so the equi-join
-    on these prefixes loses none."""
-    def prefix(df: DataFrame, key: str) -> DataFrame:
-        t = F.array_sort(F.transform(F.array_distinct(T.raw_tokens(F.col("content"))), lambda x: F.concat(F.substring(F.md5(x), 1, 8), x)))
-        k = (F.size("_t") - F.ceil(F.size("_t") * F.lit(least)) + 1).cast("int")
-        return df.select(F.col("id").alias(key), t.alias("_t")).filter(F.size("_t") > 0).withColumn("_p", F.explode(F.slice("_t", F.lit(1), k)))
-
-    a, b = prefix(new, "id"), prefix(old, "old_id").withColumnRenamed("_t", "_u")
+    """new(id, content) with a row of another id in old(id, content) that is equal in tokens or whose
+    sets of tokens have a Jaccard similarity of at least `least`. Tokens are ordered from the rarest of
+    both tables; two sets this similar share one of the first ceil-bounded (1 - least) n + 1 of them,
+    so the equi-join on these prefixes loses none and never meets on a frequent token first."""
+    def tokens(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col("id").alias(key), F.explode(F.array_distinct(T.raw_tokens(F.col("content")))).alias("_t"))
+
+    n, o = tokens(new, "id"), tokens(old, "old_id")
+    freq = n.select("_t").unionByName(o.select("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
+
+    def prefix(t: DataFrame, key: str, name: str) -> DataFrame:
+        packed = skew.lookup(t, freq, "_t", "inner").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]).alias(name))
+        k = (F.size(name) - F.ceil(F.size(name) * F.lit(least)) + 1).cast("int")
+        return packed.withColumn("_p", F.explode(F.slice(name, F.lit(1), k)))
+
+    a, b = prefix(n, "id", "_t"), prefix(o, "old_id", "_u")
     near = a.join(b, "_p").filter(F.col("id") != F.col("old_id")).filter(T.jaccard(F.col("_t"), F.col("_u")) >= least)
     return near.select("id").distinct()
 

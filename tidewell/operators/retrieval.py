@@ -29,7 +29,7 @@ def episodic(episodes: DataFrame, queries: DataFrame, as_of: float, n: int = 5)
     """query_id, id, layer, text, tokens, score. The max(3 n, n + 5) best by BM25 stand for the vector
     search's candidates; the rank there counts against the score."""
     cand = lexical.top(lexical.bm25(episodes, queries).withColumn("bm25", F.round("bm25", 9)), max(3 * n, n + 5), "bm25")
-    x = cand.join(episodes.select("id", "text", "importance", "ts"), "id").join(F.broadcast(_terms(queries)), "query_id")
+    x = cand.join(episodes.select("id", "text", "importance", "ts"), "id").join(_terms(queries), "query_id")
     lex, dens = T.overlap(F.col("terms"), T.split_tokens(F.col("text"))), T.density(F.col("terms"), F.col("text"))
     score = 0.50 * lex + 0.28 * S.or_default(F.col("importance"), 0.5) + 0.16 * S.two_scale(S.age_days(as_of, F.col("ts"))) + 0.06 * dens - 0.02 * (F.col("rank") - 1)
     return x.select("query_id", "id", F.lit("episodic").alias("layer"), "text", F.greatest(F.lit(1), T.tokens_estimate(F.col("text"))).alias("tokens"), F.round(score, 9).alias("score"))
@@ -38,7 +38,7 @@ def episodic(episodes: DataFrame, queries: DataFrame, as_of: float, n: int = 5)
 def semantic(facts: DataFrame, queries: DataFrame, as_of: float, n: int = 8, least: float = 0.08) -> DataFrame:
     """Facts by overlap (or their search score), confidence, recency and density."""
     m = lexical.semantic_live(facts, queries, max(3 * n, 12)).select("query_id", "id", F.col("score").alias("match"))
-    x = m.join(facts.select("id", F.col("content").alias("text"), "confidence", "ts"), "id").join(F.broadcast(_terms(queries)), "query_id")
+    x = m.join(facts.select("id", F.col("content").alias("text"), "confidence", "ts"), "id").join(_terms(queries), "query_id")
     lex = F.greatest(T.overlap(F.col("terms"), T.split_tokens(F.col("text"))), F.col("match"))
     score = 0.52 * lex + 0.28 * S.or_default(F.col("confidence"), 0.62) + 0.12 * S.linear(S.age_days(as_of, F.col("ts")), 180.0) + 0.08 * T.density(F.col("terms"), F.col("text"))
     y = x.filter(lex >= least).select("query_id", "id", F.lit("semantic").alias("layer"), "text", F.greatest(F.lit(1), T.tokens_estimate(F.col("text"))).alias("tokens"), F.round(score, 9).alias("score"))
@@ -48,7 +48,7 @@ def semantic(facts: DataFrame, queries: DataFrame, as_of: float, n: int = 8, lea
 def cold(archive: DataFrame, queries: DataFrame, as_of: float, n: int = 5) -> DataFrame:
     """Archived texts by overlap, recency over a year and density, from a base of .10."""
     c = lexical.retrieve_cold(archive, queries, as_of, n).select("query_id", "id")
-    x = c.join(archive.select("id", "text", "ts"), "id").join(F.broadcast(_terms(queries)), "query_id")
+    x = c.join(archive.select("id", "text", "ts"), "id").join(_terms(queries), "query_id")
     score = 0.42 * T.overlap(F.col("terms"), T.split_tokens(F.col("text"))) + 0.10 * S.linear(S.age_days(as_of, F.col("ts")), 365.0) + 0.08 * T.density(F.col("terms"), F.col("text")) + 0.10
     return x.select("query_id", "id", F.lit("cold").alias("layer"), "text", F.greatest(F.lit(1), T.tokens_estimate(F.col("text"))).alias("tokens"), F.round(score, 9).alias("score"))
 
@@ -94,7 +94,7 @@ def retrieve(episodes: DataFrame, facts: DataFrame, archive: DataFrame, queries:
     """The whole: episodic and semantic candidates, cold ones for the queries that need them, selected."""
     # read by the gate and by the selection
     warm = cut(episodic(episodes, queries, as_of).unionByName(semantic(facts, queries, as_of)), "warm")
-    more = cold(archive, queries, as_of).join(F.broadcast(needs_cold(warm, queries, budget)), "query_id", "left_semi")
+    more = cold(archive, queries, as_of).join(needs_cold(warm, queries, budget), "query_id", "left_semi")
     return select(warm.unionByName(more), budget)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import extraction as E
-from ..operators import lifecycle, records, retrieval, vectors
+from ..operators import lifecycle, records, retrieval, skew, vectors
 from ..sources import logical as L
 from ..sources.tables import table
 from .kernels import AS_OF, split, tok
@@ -55,7 +55,7 @@ def _p95(s, d):
     r = L.runs(s, d).filter("duration IS NOT NULL")
     w = Window.partitionBy("strategy").orderBy("duration", "run_id")
     n = r.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean"))
-    x = r.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(n.orderBy("strategy").limit(100_000)), "strategy")
+    x = skew.lookup(r.withColumn("i", F.row_number().over(w) - 1), n, "strategy", "inner")
     return x.filter(F.col("i") == F.floor(0.95 * F.col("n"))).select("strategy", "n", F.round("mean", 6).alias("mean"), F.col("duration").alias("p95"))
 
 
