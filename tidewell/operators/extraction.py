@@ -149,3 +149,25 @@ def search_relations(rel: DataFrame, queries: DataFrame, n: int = 8) -> DataFram
     x = hit.withColumn("score", F.round(score, 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "object", "relation")
     return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", "relation", "object", "score", "rank")
+
+
+def context(terms: DataFrame, sents: DataFrame, when: DataFrame, seeds: DataFrame, direct: int = 3, related: int = 5, each: int = 2, most: int = 8) -> DataFrame:
+    """What the entity graph knows about the seeds (query_id, term): per seed its `direct` newest
+    sentences, then the `each` newest of the `related` terms that share most sentences with it, every
+    sentence once at its first visit, `most` per query, as one text. when: id, ts. Newest-per-term
+    limits come before any join, so a frequent term brings no more than its few sentences."""
+    m = terms.select("id", "sent", "term").distinct()
+    w = Window.partitionBy("term").orderBy(F.desc("ts"), "id", "sent")
+    newest = m.join(when, "id").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max(direct, each))
+    zero = F.lit(0)
+    a = seeds.join(newest.filter(F.col("rn") <= direct), "term").select("query_id", zero.alias("o1"), zero.alias("o2"), "term", "rn", "id", "sent")
+    held = m.join(seeds, "term").select("query_id", "term", "id", "sent")
+    near = held.join(m.withColumnRenamed("term", "other"), ["id", "sent"]).filter("other <> term").groupBy("query_id", "term", "other").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("query_id", "term").orderBy(F.desc("n"), "other")
+    near = near.withColumn("o2", F.row_number().over(best)).filter(F.col("o2") <= related)
+    b = near.join(newest.filter(F.col("rn") <= each).withColumnRenamed("term", "other"), "other").select("query_id", F.lit(1).alias("o1"), "o2", "term", "rn", "id", "sent")
+    visits = a.unionByName(b).join(sents, ["id", "sent"])
+    once = visits.groupBy("query_id", "sentence").agg(F.min(F.struct("o1", "o2", "term", "rn", "id", "sent")).alias("v"))
+    order = Window.partitionBy("query_id").orderBy("v")
+    kept = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "sentence"))).alias("p")).select("query_id", F.size("p").alias("sentences"), F.array_join(F.transform("p", lambda x: x["sentence"]), "\n---\n").alias("context"))

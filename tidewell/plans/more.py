@@ -91,6 +91,8 @@ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 x AS (SELECT query_id, id, text, ts, {split('query')} AS q0, {split('text')} AS cs, {tok('text')} AS rt FROM c JOIN coldm USING (id) JOIN q USING (query_id)), y AS (SELECT *, CASE WHEN list_contains(q0, 'preference') THEN list_distinct(list_concat(q0, ['prefer', 'favorite', 'like'])) ELSE q0 END AS qs FROM x)
 SELECT query_id::BIGINT AS query_id, id, greatest(1, length(text) // 4)::INT AS tokens, round(0.42 * CASE WHEN len(qs) > 0 AND len(cs) > 0 THEN len(list_intersect(qs, cs)) / len(qs) ELSE 0 END + 0.10 * greatest(0.0, 1 - least(greatest(0.0, ({AS_OF} - ts) / 86400.0) / 365.0, 1.0)) + 0.08 * CASE WHEN len(rt) > 0 THEN len(list_filter(rt, lambda t: list_contains(qs, t))) / len(rt) ELSE 0 END + 0.10, 6) AS score FROM y"""
 
+#: Entities whose surroundings are asked for.
+SEEDS = [(0, "scheduler"), (0, "photo"), (1, "planificador"), (2, "nothing at all")]
 #: Sentences appended by length, so that there are relations with words to search for.
 SAID = ["I use PyCharm as my primary editor.", "FastAPI is a framework for building services.", "I prefer pytest over unittest."]
 
@@ -122,6 +124,17 @@ QUERIES = {
         _TERMS
         + ", nm AS (SELECT DISTINCT id, term FROM ti), big AS (SELECT term FROM nm WHERE term NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_ENTITIES) + ") AND NOT regexp_matches(term, '^[0-9]+$') GROUP BY 1 HAVING count(DISTINCT id) >= 5), x AS (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY ts DESC, id)::INT AS rank FROM nm JOIN big USING (term) JOIN fcts USING (id)) SELECT term, id, rank FROM x WHERE rank <= 2",
     ),
+    "g2_g3_context": (
+        lambda s, d: E.context(E.tfidf(_docs(s, d)), E.sentences(_docs(s, d)), L.facts(s, d).select("id", "ts"), s.createDataFrame(SEEDS, "query_id bigint, term string")),
+        _TERMS
+        + ", sd AS (SELECT query_id::BIGINT AS query_id, term FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SEEDS) + ") AS v(query_id, term))"
+        + """, m AS (SELECT DISTINCT id, sent, term FROM ti), nw AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ts DESC, id, sent) AS rn FROM m JOIN fcts USING (id)),
+        a AS (SELECT query_id, 0 AS o1, 0 AS o2, term, rn, id, sent FROM sd JOIN nw USING (term) WHERE rn <= 3), nr AS (SELECT query_id, sd.term, o.term AS other, count(*) AS n FROM sd JOIN m h ON h.term = sd.term JOIN m o ON o.id = h.id AND o.sent = h.sent AND o.term <> sd.term GROUP BY 1, 2, 3),
+        nt AS (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY n DESC, other) AS o2 FROM nr), b AS (SELECT query_id, 1 AS o1, o2, nt.term, rn, id, sent FROM nt JOIN nw ON nw.term = other WHERE o2 <= 5 AND rn <= 2),
+        vs AS (SELECT query_id, sentence, o1, o2, term, rn, id, sent, row_number() OVER (PARTITION BY query_id, sentence ORDER BY o1, o2, term, rn, id, sent) AS f FROM (SELECT * FROM a UNION ALL SELECT * FROM b) JOIN sents USING (id, sent)),
+        pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o1, o2, term, rn, id, sent) AS place FROM vs WHERE f = 1)
+        SELECT query_id, count(*)::INT AS sentences, string_agg(sentence, chr(10) || '---' || chr(10) ORDER BY place) AS context FROM pl WHERE place <= 8 GROUP BY 1""",
+    ),
     "j10_unmentioned": (
         lambda s, d: table(s, d, "subjects", "subject").join(E.sentence_terms(_docs(s, d)).select(F.col("term").alias("subject")).distinct(), "subject", "left_anti"),
         _SENT + "SELECT subject FROM subjects WHERE NOT EXISTS (SELECT 1 FROM sents WHERE list_contains(regexp_extract_all(lower(sentence), '[a-z0-9_]{2,}'), subject))",
