@@ -40,3 +40,12 @@ def test_empty(spark):
     b = skew.with_blocks(e, ["k"], "t")
     assert skew.running(b, ["k"], ["t", "id"], {"s": F.col("v")}).count() == 0
     assert skew.lookup(e, spark.createDataFrame([], "k string, w long"), "k").count() == 0
+
+
+def test_cut_and_clear(spark):
+    from tidewell import session
+
+    session.clear(spark)
+    df = session.cut(spark.range(10).selectExpr("id", "id % 3 AS k"), "t")
+    assert df.count() == 10
+    assert session.clear(spark) == 1 and session.clear(spark) == 0

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: list[str] = []
+_written: list[str] = []
 
 
 def get_spark(app: str = "tidewell", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -53,7 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="tidewell-")
     _own_dirs.append(own)
@@ -73,9 +75,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that `cut` has written in this process and say how many. Call it when no
+    result that reads them is needed any more; files in the shared folder stay otherwise."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a scan of too few files enough partitions for heavy row work. A scan that
     already has as many partitions as cores (any large input) is left as it is."""
