@@ -53,6 +53,27 @@ def test_held_out(spark):
     assert S.found(d, lab.limit(0), sub).count() == 0
 
 
+def test_leaf_casts_the_vote():
+    """The nearest leaf's mixture votes, also against the sentence's own terms; these decide in a mixed leaf."""
+    lift = np.array([[3.0, -1, -1], [0.5, 2.5, -1], [-1, -1, 3]])
+    centroids = np.eye(3, dtype=np.float32)
+    mixtures = np.array([[0.95, 0.05, 0], [0.08, 0, 0.92], [0.5, 0.5, 0]], np.float32)
+    m = S.Model(["a", "b", "c"], {"x": 0, "y": 1, "z": 2}, lift, np.ones(3), centroids, mixtures, 1.8, 1.2)
+    assert [(i, round(p, 2)) for i, p in m.vote((0,))] == [(0, 0.95), (1, 0.05)]
+    assert [(i, round(p, 2)) for i, p in m.vote((1,))] == [(0, 0.08), (2, 0.92)]
+    assert m.vote((2,)) == ((2, 1.0),) and m.vote(()) == ()
+    votes, of = m.shares("One y here. One y there. Only a w here.", {})
+    assert of == 2 and round(votes[2], 2) == 1.84
+
+
+def test_rows_as_dense():
+    r = np.random.default_rng(3)
+    x = r.random((40, 9)) * (r.random((40, 9)) < 0.3)
+    i, n = np.array([5, 0, 31]), np.array([1.0, 2.0, 3.0])
+    got = S.Rows.of(x).take(i)
+    assert np.allclose(got.dot(x[7]), x[i] @ x[7]) and np.allclose(got.total(n), n @ x[i])
+
+
 def test_sentences_leave_markup_out():
     t = "{{Infobox\n| a = b\n}}\nFirst one here. Second [[a|one]] here.<ref>x y</ref>\n== Head ==\n<blockquote>Quoted words.</blockquote>\n{| t\n| cell words\n|}\n[[Category:X]]"
     assert [s for s in wiki.sentences(t)] == ["First one here.", "Second one here."]

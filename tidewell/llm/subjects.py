@@ -13,9 +13,10 @@ the ones with the smallest hash of their id):
    centroid's terms.
 
 Then every document, labelled or not, is scanned once: a sentence goes to the leaf of the nearest
-centroid, whose mixture votes, together with the sentence's own terms where the leaf is mixed; a
-sentence without discriminative terms has no subject. A document has the subjects with at least
-`share` of its votes (no subject lies between .15 and .3, so .225 is used).
+centroid, whose mixture votes: one vote, split over the leaf's subjects. Where the leaf is mixed
+(no subject has `pure` of it), the sentence's own terms decide instead. A sentence without
+discriminative terms, or whose terms speak for no subject, has none. A document has the subjects
+with at least `share` of its votes (no subject lies between .15 and .3, so .225 is used).
 
 Null text, redirects, pages outside namespace 0 (a null namespace counts as 0) and texts without
 prose have no rows; a null doc_id is left out; repeated rows of one doc_id give equal rows, made
@@ -46,13 +47,13 @@ def _terms(sentence: str, memo: dict[str, int]) -> tuple[int, ...]:
 class Model:
     """Fitted terms, leaves and mixtures. All state is small: terms x subjects and leaves x terms."""
 
-    def __init__(self, subjects: list[str], vocabulary: dict[str, int], lift: np.ndarray, weight: np.ndarray, centroids: np.ndarray, mixtures: np.ndarray, clear: float, margin: float) -> None:
+    def __init__(self, subjects: list[str], vocabulary: dict[str, int], lift: np.ndarray, weight: np.ndarray, centroids: np.ndarray, mixtures: np.ndarray, clear: float, margin: float, pure: float = 0.9) -> None:
         self.subjects, self.vocabulary, self.lift, self.weight = subjects, vocabulary, lift, weight
-        self.centroids, self.mixtures, self.clear, self.margin = centroids, mixtures, clear, margin
-        self._memo: dict[tuple[int, ...], int] = {}
+        self.centroids, self.mixtures, self.clear, self.margin, self.pure = centroids, mixtures, clear, margin, pure
+        self._memo: dict[tuple[int, ...], tuple[tuple[int, float], ...]] = {}
 
-    def subject(self, terms: tuple[int, ...]) -> int:
-        """The number of a sentence's subject, -1 for none."""
+    def vote(self, terms: tuple[int, ...]) -> tuple[tuple[int, float], ...]:
+        """A sentence's vote: subject numbers and their parts of it, () for no subject."""
         got = self._memo.get(terms)
         if got is None:
             if len(self._memo) > 200_000:
@@ -60,32 +61,35 @@ class Model:
             got = self._memo[terms] = self._decide(terms)
         return got
 
-    def _decide(self, terms: tuple[int, ...]) -> int:
+    def _decide(self, terms: tuple[int, ...]) -> tuple[tuple[int, float], ...]:
         if not terms:
-            return -1
+            return ()
         t = list(terms)
         own = self.lift[t].sum(axis=0)
         order = np.argsort(-own)
-        if own[order[0]] < self.clear or own[order[0]] - own[order[1]] < self.margin:
-            return -1
-        leaf = int(np.argmax(self.centroids[:, t] @ self.weight[t]))
-        mixed = self.mixtures[leaf]
-        if mixed.max() >= 0.9 and own[int(mixed.argmax())] >= own[order[0]] - self.margin:
-            return int(mixed.argmax())
-        return int(order[0])
-
-    def shares(self, text: str, memo: dict[str, int]) -> Counter:
-        """Votes by subject number."""
+        if own[order[0]] < self.clear:
+            return ()
+        mixed = self.mixtures[int(np.argmax(self.centroids[:, t] @ self.weight[t]))].astype(float)
+        if mixed.max() >= self.pure:
+            return tuple((int(i), float(mixed[i] / mixed.sum())) for i in np.flatnonzero(mixed > 0))
+        if own[order[0]] - own[order[1]] < self.margin:
+            return ()
+        return ((int(order[0]), 1.0),)
+
+    def shares(self, text: str, memo: dict[str, tuple[tuple[int, float], ...]]) -> tuple[Counter, int]:
+        """Votes by subject number, and the number of sentences that voted."""
         votes: Counter = Counter()
+        of = 0
         for s in wiki.sentences(text):
             v = memo.get(s)
             if v is None:
                 if len(memo) > 100_000:
                     memo.clear()
-                v = memo[s] = self.subject(_terms(s, self.vocabulary))
-            if v >= 0:
-                votes[v] += 1
-        return votes
+                v = memo[s] = self.vote(_terms(s, self.vocabulary))
+            of += bool(v)
+            for i, part in v:
+                votes[i] += part
+        return votes, of
 
     def leaf_terms(self, n: int = 8) -> list[list[str]]:
         """The most discriminative terms of each leaf."""
@@ -93,17 +97,46 @@ class Model:
         return [[words[i] for i in np.argsort(-c)[:n] if c[i] > 0] for c in self.centroids * self.weight]
 
 
-def bisecting_kmeans(x: np.ndarray, n: np.ndarray, leaves: int, scatter: float, seed: int = 0) -> np.ndarray:
+class Rows:
+    """Rows of few entries each: terms, their values, and where each row starts and ends."""
+
+    def __init__(self, term: np.ndarray, value: np.ndarray, start: np.ndarray, terms: int) -> None:
+        self.term, self.value, self.start, self.terms = term, value, start, terms
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Rows:
+        row, term = np.nonzero(x)
+        return cls(term, x[row, term], np.searchsorted(row, np.arange(len(x) + 1)), x.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def take(self, i: np.ndarray) -> Rows:
+        size = (self.start[1:] - self.start[:-1])[i]
+        start = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.start[i] - start[:-1], size) + np.arange(start[-1])
+        return Rows(self.term[at], self.value[at], start, self.terms)
+
+    def dot(self, c: np.ndarray) -> np.ndarray:
+        """The product of each row with the vector c."""
+        return np.bincount(np.repeat(np.arange(len(self)), np.diff(self.start)), self.value * c[self.term], len(self))
+
+    def total(self, n: np.ndarray) -> np.ndarray:
+        """The sum of the rows, n times each."""
+        return np.bincount(self.term, self.value * np.repeat(n, np.diff(self.start)), self.terms)
+
+
+def bisecting_kmeans(x: np.ndarray | Rows, n: np.ndarray, leaves: int, scatter: float, seed: int = 0) -> np.ndarray:
     """Leaf numbers of unit vectors x with multiplicities n: the leaf with the greatest weighted
     scatter is split in two by spherical 2-means, until `leaves` or no mean scatter above `scatter`."""
     rng = np.random.default_rng(seed)
-    leaf = np.zeros(len(x), np.int64)
+    rows, n = x if isinstance(x, Rows) else Rows.of(x), n.astype(float)
+    leaf = np.zeros(len(rows), np.int64)
 
     def spread_of(i: np.ndarray) -> float:
-        c = (x[i] * n[i, None]).sum(axis=0)
-        return float(n[i].sum() - np.linalg.norm(c))
+        return float(n[i].sum() - np.linalg.norm(rows.take(i).total(n[i])))
 
-    cost = {0: spread_of(np.arange(len(x)))}
+    cost = {0: spread_of(np.arange(len(rows)))}
     while len(cost) < leaves:
         at = max((k for k in cost if cost[k] > 0), key=cost.get, default=None)
         if at is None:
@@ -112,17 +145,18 @@ def bisecting_kmeans(x: np.ndarray, n: np.ndarray, leaves: int, scatter: float,
         if len(i) < 2 or cost[at] / n[i].sum() < scatter:
             cost[at] = 0.0
             continue
-        a = i[rng.choice(len(i), p=n[i] / n[i].sum())]
-        b = i[int(np.argmin(x[i] @ x[a]))]
-        c = np.stack([x[a], x[b]])
+        own, times = rows.take(i), n[i]
+        one = lambda k: own.take(np.array([k])).total(np.ones(1))  # noqa: E731,B023
+        a = one(rng.choice(len(i), p=times / times.sum()))
+        c = np.stack([a, one(int(np.argmin(own.dot(a))))])
         side = np.zeros(len(i), np.int64)
         for _ in range(12):
-            new = np.argmax(x[i] @ c.T, axis=1)
+            new = (own.dot(c[1]) > own.dot(c[0])).astype(np.int64)
             if (new == side).all() and _:
                 break
             side = new
             for j in (0, 1):
-                m = (x[i[side == j]] * n[i[side == j], None]).sum(axis=0)
+                m = own.total(times * (side == j))
                 c[j] = m / max(np.linalg.norm(m), 1e-12)
         if side.min() == side.max():
             cost[at] = 0.0
@@ -133,9 +167,9 @@ def bisecting_kmeans(x: np.ndarray, n: np.ndarray, leaves: int, scatter: float,
     return leaf
 
 
-def fit(rows: list[tuple[str, int, list[str]]], subjects: list[str], leaves: int = 192, scatter: float = 0.05, least_pages: int = 3, most_sets: int = 4_000, smooth: float = 2.0, wrong: float = 0.02, clear: float = 1.8, margin: float = 1.2, rounds: int = 12) -> Model:
-    """rows: (text, page_id, labels) of labelled documents. The leaves are made from the `most_sets`
-    most frequent sets of discriminative terms in this sample."""
+def fit(rows: list[tuple[str, int, list[str]]], subjects: list[str], leaves: int = 192, scatter: float = 0.05, least_pages: int = 3, smooth: float = 2.0, wrong: float = 0.02, clear: float = 1.8, margin: float = 1.2, rounds: int = 12) -> Model:
+    """rows: (text, page_id, labels) of labelled documents. The leaves are made from all sets of
+    discriminative terms in this sample."""
     number = {s: i for i, s in enumerate(subjects)}
     n_subjects = len(subjects)
     units: dict[tuple, None] = {}
@@ -181,19 +215,18 @@ def fit(rows: list[tuple[str, int, list[str]]], subjects: list[str], leaves: int
         kept = tuple(i for i in t if telling[i])
         if kept:
             sets[kept] += n
-    common = [(k, n) for k, n in sorted(sets.items(), key=lambda kn: (-kn[1], kn[0]))][:most_sets]
-    x = np.zeros((len(common), len(vocabulary)), np.float32)
-    for i, (t, _) in enumerate(common):
-        x[i, list(t)] = weight[list(t)]
-    x = x[:, telling]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    n = np.array([k for _, k in common], np.float32)
+    kept = np.flatnonzero(telling)
+    column = np.cumsum(telling) - 1
+    common = sorted(sets)
+    size = np.array([len(t) for t in common], np.int64)
+    term = np.array([i for t in common for i in t], np.int64)
+    length = np.sqrt(np.bincount(np.repeat(np.arange(len(common)), size), weight[term] ** 2, len(common)))
+    x = Rows(column[term], weight[term] / np.repeat(np.maximum(length, 1e-12), size), np.concatenate([[0], np.cumsum(size)]), len(kept))
+    n = np.array([sets[t] for t in common], float)
     leaf = bisecting_kmeans(x, n, leaves, scatter)
     count = int(leaf.max()) + 1 if len(leaf) else 1
-    centroids = np.zeros((count, x.shape[1]), np.float32)
-    np.add.at(centroids, leaf, x * n[:, None])
+    centroids = np.stack([x.take(i).total(n[i]) for i in (np.flatnonzero(leaf == k) for k in range(count))]).astype(np.float32)
     centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    kept = np.flatnonzero(telling)
     mixtures = centroids @ (p[kept] * weight[kept, None]).astype(np.float32)
     mixtures /= np.maximum(mixtures.sum(axis=1, keepdims=True), 1e-12)
     words = sorted(vocabulary, key=vocabulary.get)
@@ -210,27 +243,27 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LAB
 
 
 def votes(documents: DataFrame, labels: DataFrame, subjects: list[str], **how) -> DataFrame:
-    """documents(doc_id, page_id, namespace, text) -> doc_id, subject, votes, of (votes in all)."""
+    """documents(doc_id, page_id, namespace, text) -> doc_id, subject, votes (parts of a sentence's vote count),
+    of (votes in all)."""
     model = fit(labelled_sample(documents, labels), subjects, **how)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
+        memo: dict[str, tuple[tuple[int, float], ...]] = {}
         for pdf in batches:
             ids, names, counts, totals = [], [], [], []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 if wiki.is_redirect(text):
                     continue
-                v = model.shares(text, memo)
-                total = sum(v.values())
+                v, total = model.shares(text, memo)
                 for s, k in v.items():
                     ids.append(doc)
                     names.append(model.subjects[s])
                     counts.append(k)
                     totals.append(total)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "subject": pd.Series(names, dtype=object), "votes": np.array(counts, np.int32), "of": np.array(totals, np.int32)})
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "subject": pd.Series(names, dtype=object), "votes": np.array(counts, float), "of": np.array(totals, np.int32)})
 
     prose = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL AND coalesce(namespace, 0) = 0").select(F.col("doc_id").cast("bigint"), "text")
-    return spread(prose).mapInPandas(run, "doc_id bigint, subject string, votes int, of int")
+    return spread(prose).mapInPandas(run, "doc_id bigint, subject string, votes double, of int")
 
 
 def _names(subjects: DataFrame) -> list[str]:
