@@ -38,6 +38,17 @@ def test_found(spark):
     assert {r.session_id for r in C.found(_rows(spark, ROWS)).collect()} == BAD
 
 
+def test_second_delivery_within_the_second(spark):
+    """The copied row's later id neither ends a session nor hides that it ends on the user."""
+    rows = [
+        (1, "answered", "user", "q", None, 5.0), (2, "answered", "assistant", "a", None, 5.0), (3, "answered", "User", "q", None, 5.0),
+        (4, "open end", "user", "q", None, 4.0), (5, "open end", "assistant", "a", None, 5.0), (6, "open end", "user", "q2", None, 5.0), (7, "open end", "assistant", "a", None, 5.0),
+        (8, "numbered", "user", "q", _n(0), 5.0), (9, "numbered", "assistant", "a", _n(1), 5.0), (10, "numbered", "user", "q", _n(2), 5.0),
+    ]
+    got = {r.session_id: (r.reason, r.rows) for r in C.session_verdicts(_rows(spark, rows)).collect()}
+    assert got == {"answered": (None, 3), "open end": ("no reply", 4), "numbered": (None, 3)}
+
+
 def test_conversations(spark):
     got = {}
     for r in C.conversations(_rows(spark, ROWS)).collect():

@@ -6,7 +6,8 @@ end at inactivity gaps longer than a calibrated threshold. Sessions that are emp
 without a reply are left out, and `session_verdicts` says why.
 
 The verdicts need no window: first and last speaker are min_by/max_by, numbering is a count of
-distinct numbers after pre-aggregation, so a session of any size is folded map-side. Turns of one
+distinct numbers after pre-aggregation, so a session of any size is folded map-side; second
+deliveries are dropped before, by a key that spreads a session over its contents. Turns of one
 session are numbered in blocks of time (skew.with_blocks), so a session that holds a third of all
 rows is not one task either.
 
@@ -70,15 +71,24 @@ def rows(messages: DataFrame) -> DataFrame:
     )
 
 
+def _content_key() -> Column:
+    return F.struct(F.xxhash64("content"), F.xxhash64(F.reverse("content")), F.length("content"))
+
+
 def session_verdicts(messages: DataFrame) -> DataFrame:
-    """One row per session: rows, why it is left out (null if it is kept), and its times.
-    A second delivery changes neither the first nor the last speaker nor the set of numbers."""
-    r = rows(messages).drop("content")
+    """One row per session: rows (second deliveries too), why it is left out (null if it is kept),
+    and its times. First and last speaker are those of the rows that `once` keeps: a row delivered
+    again within its second doesn't come after the answer of that second."""
+    r = rows(messages).withColumn("_c", _content_key()).groupBy("session_id", "speaker", "seconds", "_c").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("id").alias("id"), F.max("said").alias("said"), F.collect_set("number").alias("_numbers")
+    )
+    # a row for each number of the copies, in the first of which they are counted
+    r = r.select("session_id", "speaker", "seconds", "id", "said", "_n", F.posexplode_outer("_numbers").alias("_pos", "number"))
     turn = F.col("speaker").isin("user", "assistant")
     says = F.col("said") & turn
     # pre-aggregated by (session, number): what is then shuffled per session is its distinct numbers
     partial = r.groupBy("session_id", "number").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_n")).otherwise(0)).alias("n"),
         F.min("seconds").alias("t0"),
         F.max("seconds").alias("t1"),
         F.coalesce(F.max(says), F.lit(False)).alias("any_said"),
@@ -121,9 +131,8 @@ def once(messages: DataFrame) -> DataFrame:
     the one with the smallest id stays. The content enters the key as a 128-bit hash, so a hot
     session is spread by its contents."""
     r = rows(messages)
-    key = F.struct(F.xxhash64("content"), F.xxhash64(F.reverse("content")), F.length("content"))
     return (
-        r.withColumn("_c", key)
+        r.withColumn("_c", _content_key())
         .groupBy("session_id", "speaker", "seconds", "_c")
         .agg(F.min_by(F.struct("id", "said", "number", "content"), "id").alias("r"))
         .select("session_id", "speaker", "seconds", "r.*")
