@@ -41,6 +41,17 @@ def test_limit_is_found_and_whole_texts_are_not(spark):
     assert "n" not in j and "b" not in j
 
 
+def test_copies_do_not_teach_their_cut(spark):
+    rows = [(f"e{i}", t, '{"source": "s1"}') for i, t, _ in _made(400, 2)]
+    tail = "old planner sends each record and every entry to the"
+    rows += [(f"c{i}", tail, '{"source": "s1"}') for i in range(20)]
+    eps = spark.createDataFrame(rows, "id string, text string, metadata string")
+    dec = spark.createDataFrame([(i, "s2", tail, None) for i in range(20)], "decision_id long, source string, episode_text string, source_text string")
+    got = {r.row_id: r for r in T.judged(eps, dec).collect()}
+    copies = [got[f"c{i}"] for i in range(20)] + [got[str(i)] for i in range(20)]
+    assert all(r.truncated and not r.at_limit for r in copies)
+
+
 def test_limits_only_where_planted(spark):
     r = random.Random(5)
     lengths = [("a", "chars", r.randint(50, 400), True) for _ in range(3000)] + [("a", "chars", r.randint(50, 400), False) for _ in range(400)] + [("a", "chars", 255, False)] * 60

@@ -81,7 +81,8 @@ def judged(episodes: DataFrame, decisions: DataFrame) -> DataFrame:
     keyed = r.select("table_name", "row_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text", F.length("text")).alias("same"), proof.alias("proof"), "text")
     keys = ["table_name", "row_id", "source", "chars", "bytes", "same", "proof"]
     t = cut(endings.tails(keyed, keys, words), "tails")
-    counts = endings.contexts(r.select("text"), words)
+    # a text teaches its tail once, however often it is repeated: finals count different texts
+    counts = endings.contexts(r.select("text").distinct(), words)
     # copies of one text say nothing new about a limit
     lengths = t.select("source", "same", "chars", "bytes", "ended").distinct().select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("u"), "ended").select("source", "u.unit", "u.length", "ended")
     significant = cut(limits(lengths), "limits")
