@@ -65,5 +65,18 @@ def test_questions_across_blocks(spark, monkeypatch):
     assert whole == parts and len(whole) == 360
 
 
+def test_long_runs_of_user_rows(spark, monkeypatch):
+    """All user rows since the previous answer, also more than six and over block borders."""
+    from tidewell.operators import skew
+
+    rows = [(1, "s", "assistant", "hello", 1.0, "")] + [(i, "s", "user", f"part {i}", float(i), "") for i in range(2, 12)] + [(12, "s", "user", " ", 12.0, ""), (13, "s", "assistant", "first", 13.0, ""), (14, "s", "assistant", "second", 14.0, "")]
+    rows = A.all_rows(spark.createDataFrame(rows, M), spark.createDataFrame([], T))
+    want = {1: None, 13: "\n".join(f"part {i}" for i in range(2, 12)), 14: "part 11"}
+    assert {r.id: r.question for r in A.pairs(rows).collect()} == want
+    plain = skew.with_blocks
+    monkeypatch.setattr(skew, "with_blocks", lambda df, keys, order, **k: plain(df, keys, order, rows=3, cuts=8))
+    assert {r.id: r.question for r in A.pairs(rows).collect()} == want
+
+
 def test_empty(spark):
     assert A.found(spark.createDataFrame([], M), spark.createDataFrame([], T)).count() == 0

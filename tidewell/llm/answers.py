@@ -11,7 +11,8 @@ or the last user row — and gets at most one defect:
 - truncated: it ends without a stop where sentences go on, or inside a bracket, quote or fence
   (terminal contexts, see endings).
 
-Questions are found in blocks of time per session (skew.with_blocks): no session is one task.
+Questions are found in blocks of time per session (skew.with_blocks): no session is one task. The
+user rows of one question are numbered over the blocks and gathered whole.
 Rows with a null id are left out; a null content is blank; without a question only empty, refusal
 and truncated can hold. A null time sorts first. Every delivery of a row is judged. Repeated rows
 give one row. Empty tables give no rows; other columns are ignored.
@@ -115,20 +116,21 @@ def pairs(rows: DataFrame) -> DataFrame:
     r = skew.with_blocks(r, ["table_name", "session_id"], "seconds")
     w = Window.partitionBy("table_name", "session_id", "_block").orderBy("seconds", "id")
     user = (F.col("speaker") == "user") & F.col("said")
-    near = F.collect_list(F.struct("speaker", "said", "content")).over(w.rowsBetween(-6, -1))
-    # the user rows since the last answer, among the rows just before
-    r = r.withColumn("_near", F.reverse(near))
-    until = F.array_position(F.transform("_near", lambda x: x["speaker"]), "assistant")
-    run = F.when(until > 0, F.slice("_near", 1, (until - 1).cast("int"))).otherwise(F.col("_near"))
-    asked = F.reverse(F.transform(F.filter(run, lambda x: x["said"]), lambda x: x["content"]))
-    r = r.withColumn("_run", F.when(F.size(asked) > 0, F.array_join(asked, "\n")))
+    answer = F.col("speaker") == "assistant"
     r = r.withColumn("_last", F.last(F.when(user, F.col("content")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     ends = r.groupBy(F.col("table_name").alias("_t"), F.col("session_id").alias("_s"), F.col("_block").alias("_b")).agg(F.max(F.when(user, F.struct("seconds", "id", "content"))).alias("_e"))
     before = Window.partitionBy("_t", "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # one row a block: as many as skew.with_blocks makes, a bounded number
     carried = F.broadcast(ends.withColumn("_carry", F.last("_e.content", ignorenulls=True).over(before)).filter("_b > 0").select("_t", "_s", "_b", "_carry"))
     r = r.join(carried, (F.col("table_name") == F.col("_t")) & F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
-    return r.filter("speaker = 'assistant'").select("table_name", "id", F.coalesce("_run", "_last", "_carry").alias("question"), "said", F.col("content").alias("answer"))
+    # a run is the rows since the previous answer and the answer that ends it, however many and in whatever blocks
+    r = skew.running(r.drop("_t", "_s", "_b"), ["table_name", "session_id"], ["seconds", "id"], {"_run": answer.cast("long")})
+    runs = r.groupBy("table_name", "session_id", (F.col("_run") - answer.cast("long")).alias("_run")).agg(
+        F.array_sort(F.collect_list(F.when(user, F.struct("seconds", "id", "content")))).alias("_asked"),
+        F.max(F.when(answer, F.struct("id", "said", "content", F.coalesce("_last", "_carry").alias("last")))).alias("_a"),
+    )
+    asked = F.when(F.size("_asked") > 0, F.array_join(F.transform("_asked", lambda x: x["content"]), "\n"))
+    return runs.filter("_a IS NOT NULL").select("table_name", "_a.id", F.coalesce(asked, "_a.last").alias("question"), "_a.said", F.col("_a.content").alias("answer"))
 
 
 def all_rows(messages: DataFrame, turns: DataFrame) -> DataFrame:
