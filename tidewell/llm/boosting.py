@@ -66,14 +66,15 @@ class Boosted:
             score += self.value[t, node]
         return 1 / (1 + np.exp(-score))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """The threshold of the greatest F1 on held-out rows, in the middle of the best range."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, rare: float = 1.0) -> Boosted:
+        """The threshold of the greatest F1 on held-out rows, in the middle of the best range; a
+        positive is taken to be `rare` times as rare among the negatives as it is in these rows."""
         p = self.chance(x)
         best = -1.0
         runs: list[float] = []
         for c in np.linspace(0.02, 0.98, 97):
             hit = (p >= c) & (y > 0)
-            f1 = 2 * hit.sum() / max(1, (p >= c).sum() + (y > 0).sum())
+            f1 = 2 * hit.sum() / max(1, hit.sum() + rare * ((p >= c) & (y <= 0)).sum() + (y > 0).sum())
             if f1 > best + 1e-9:
                 best, runs = f1, [float(c)]
             elif abs(f1 - best) <= 1e-9:
