@@ -2,13 +2,15 @@
 
 Every element of the universe owns a plane of weight by rank, on which darts are thrown once and
 for all by hashing: the plane is cut into unit cells, a cell holds a Poisson(1) number of darts,
-and each dart has a rank, a weight position, one of k coordinates and an identity, all of them
-functions of (element, weight strip, rank cell, dart number). A set of total weight W looks at the
-darts under its weights up to rank T/W, T = k (ln k + 6): k coordinates each keep the dart of the
-smallest rank. Two sets keep the same dart in a coordinate with the probability of their weighted
-Jaccard similarity. Sets with a coordinate left empty throw on to twice the rank.
-
-All of it runs in numpy over a batch of sets at once.
+and each dart has a rank, a weight position and one of k coordinates, all of them functions of
+(element, weight strip, rank cell, dart number). A set of total weight W looks at the darts under
+its weights up to rank T/W, T = k (ln k + SLACK): k coordinates each keep the smallest rank. A rank
+is as good as the name of its dart, so two sets keep the same rank in a coordinate with the
+probability of their weighted Jaccard similarity. Sets with a coordinate left empty (one in e^SLACK)
+throw on to twice the rank; looking further than needed changes nothing.
+
+All of it runs in numpy over a batch of sets at once: the darts of an element are thrown once for
+all sets of the batch that hold it, and each set then keeps its minima.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ import math
 
 import numpy as np
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: How far beyond k ln k darts are thrown.
+SLACK = 4.0
+#: Darts looked at in one go, which bounds memory.
+CHUNK = 1_500_000
 #: Cumulative Poisson(1) probabilities; from 12 darts a cell on they round to one.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
 
@@ -38,59 +43,77 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _throw(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, cells: np.ndarray, first: np.ndarray, k: int, seed: int):
-    """Darts of weight strips: (owner, rank, coordinate, identity). Strip s of an element covers
-    weights s to s+1; only darts at positions under the weight count."""
-    strips = np.ceil(weight).astype(np.int64)
-    e = np.repeat(np.arange(len(element)), strips)
-    s = np.arange(len(e)) - np.repeat(np.cumsum(strips) - strips, strips)
-    n = (cells - first)[e]
-    r = np.repeat(np.arange(len(e)), n)
-    c = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + first[e][r]
-    e, s = e[r], s[r]
+def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of the given lengths laid end to end: each item's run, and its place in it."""
+    run = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    end = np.cumsum(counts)
+    return run, np.arange(end[-1] if len(end) else 0, dtype=np.int32) - (end - counts).astype(np.int32)[run]
+
+
+def _throw(element: np.ndarray, strips: np.ndarray, first: int, cells: int, k: int, seed: int):
+    """The darts of rank cells first .. cells-1 of each element's weight strips: how many each strip
+    has, and of each dart, strip by strip, its coordinate, its rank and its hash."""
+    e, s = _within(strips)
     with np.errstate(over="ignore"):
-        h = mix(element[e] + np.uint64(seed) + s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    darts = np.searchsorted(_POISSON, _unit(h))
-    d = np.repeat(np.arange(len(h)), darts)
-    j = np.arange(len(d)) - np.repeat(np.cumsum(darts) - darts, darts)
+        base = mix(element + np.uint64(seed))[e] + s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = mix((base[:, None] + (np.arange(first, cells, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[None, :]).reshape(-1))
+    darts = np.searchsorted(_POISSON, _unit(h)).astype(np.int32)
+    d, j = _within(darts)
     with np.errstate(over="ignore"):
-        a = mix(h[d] + (j.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-        b = mix(a ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    low = s[d] + _unit(b)
-    under = low < weight[e[d]]
-    d, a = d[under], a[under]
-    return owner[e[d]], c[d] + _unit(a), (mix(a + np.uint64(0x165667B19E3779F9)) % np.uint64(k)).astype(np.int64), a
+        a = mix(h[d] + (j + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # the coordinate is taken from the low bits, the rank from the others
+    coordinate = (((a & np.uint64(0xFFFF)) * np.uint64(k)) >> np.uint64(16)).astype(np.int32)
+    rank = (d % np.int32(cells - first) + np.int32(first)).astype(np.float64) + (a >> np.uint64(16)).astype(np.float64) * 2.0**-48
+    return darts.reshape(len(e), cells - first).sum(axis=1, dtype=np.int32), coordinate, rank, a
+
+
+def _minima(out: np.ndarray, owner: np.ndarray, element: np.ndarray, weight: np.ndarray, first: int, cells: int, seed: int) -> None:
+    """Lower out[set, coordinate] to the ranks of the darts that its elements see in these rank cells."""
+    k = out.shape[1]
+    unique, which = np.unique(element, return_inverse=True)
+    strips = np.ceil(weight).astype(np.int32)
+    most = np.zeros(len(unique), np.int32)
+    np.maximum.at(most, which, strips)
+    n, coordinate, rank, a = _throw(unique, most, first, cells, k, seed)
+    start, strip_of = (np.cumsum(n) - n).astype(np.int32), (np.cumsum(most) - most).astype(np.int32)
+    e, s = _within(strips)
+    row = strip_of[which[e]] + s
+    x, j = _within(n[row])
+    dart = start[row][x] + j
+    left = weight[e] - s
+    if (left < 1).any():
+        # a dart counts if it lies under the weight that is left in its strip
+        under = _unit(mix(a[dart] ^ np.uint64(0xA5A5A5A5A5A5A5A5))) < left[x]
+        x, dart = x[under], dart[under]
+    np.minimum.at(out.reshape(-1), (owner[e] * np.int32(k))[x] + coordinate[dart], rank[dart])
 
 
 def sketch(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, sets: int, k: int, seed: int = 1) -> np.ndarray:
-    """Signatures of `sets` weighted sets, an array [sets, k] of uint64. owner: the set of each
-    (element, weight); elements are 64-bit hashes, once a set; weights are positive. A set
-    without elements has the signature of zeros."""
-    out = np.zeros((sets, k), np.uint64)
-    rank = np.full(sets * k, np.inf)
-    total = np.zeros(sets)
-    np.add.at(total, owner, weight)
-    todo = np.flatnonzero(total > 0)
-    reach = np.zeros(sets, np.int64)
-    until = np.ones(sets, np.int64)
-    until[todo] = np.ceil(k * (math.log(k) + 6) / total[todo]).astype(np.int64)
-    flat = out.reshape(-1)
-    while len(todo):
-        live = np.zeros(sets, bool)
-        live[todo] = True
-        x = live[owner]
-        o, r, i, a = _throw(owner[x], element[x].astype(np.uint64), weight[x], until[owner[x]], reach[owner[x]], k, seed)
-        key = o * k + i
-        by = np.lexsort((a, r, key))
-        key, r, a = key[by], r[by], a[by]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        key, r, a = key[head], r[head], a[head]
-        better = r < rank[key]
-        rank[key[better]], flat[key[better]] = r[better], a[better]
-        todo = todo[np.isinf(rank.reshape(sets, k)[todo]).any(axis=1)]
-        reach[todo] = until[todo]
-        until[todo] *= 2
+    """Signatures of `sets` weighted sets, an array [sets, k] of float64 ranks. owner: the set of each
+    (element, weight), in ascending order; elements are 64-bit hashes, once a set; weights are
+    positive. A set without elements has a signature of infinities."""
+    out = np.full((sets, k), np.inf)
+    total = np.bincount(owner, weight, sets)
+    size = np.bincount(owner, minlength=sets)
+    begin = np.cumsum(size) - size
+    some = np.flatnonzero(total > 0)
+    need = np.zeros(sets, np.int64)
+    need[some] = np.ceil(k * (math.log(k) + SLACK) / total[some])
+    # sets of about the same reach are done together: reaches are rounded up to quarters of powers of two
+    grain = 2 ** np.maximum(0, np.floor(np.log2(np.maximum(need, 1))) - 2).astype(np.int64)
+    need = -(-need // grain) * grain
+    for reach in np.unique(need[some]):
+        at = some[need[some] == reach]
+        for part in np.array_split(at, max(1, math.ceil(total[at].sum() * reach / CHUNK))):
+            first, cells, todo = 0, int(reach), part
+            while len(todo):
+                x, j = _within(size[todo])
+                pick = begin[todo][x] + j
+                local = np.full((len(todo), k), np.inf) if first == 0 else out[todo]
+                _minima(local, x, element[pick].astype(np.uint64), weight[pick].astype(float), first, cells, seed)
+                out[todo] = local
+                todo = todo[np.isinf(local).any(axis=1)]
+                first, cells = cells, cells * 2
     return out
 
 
@@ -98,7 +121,7 @@ def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
     """[sets, k / rows] int64 keys: one per band of `rows` coordinates, the band's number hashed in."""
     n, k = signatures.shape
     b = k // rows
-    s = signatures[:, : b * rows].reshape(n, b, rows)
+    s = np.ascontiguousarray(signatures[:, : b * rows]).view(np.uint64).reshape(n, b, rows)
     h = np.broadcast_to(mix(np.arange(1, b + 1, dtype=np.uint64)), (n, b)).copy()
     with np.errstate(over="ignore"):
         for i in range(rows):

@@ -1,18 +1,23 @@
 """Near-duplicate records with small edits.
 
-Texts are bags of words (runs of letters or digits, lower case, with repeats). Records with the
-same bag form one class without any comparison. One representative per class gets a DartMinHash
-signature (weights are the counts), cut into bands; classes that share a band are candidates, and
-an exact comparison of the bags keeps those with a similarity of at least `threshold`.
+Texts are bags of words (runs of letters or digits, lower case, with repeats). One scan turns each
+text into the hash of its bag, a DartMinHash signature of its words weighted by their counts, cut
+into bands, and a parity word. Records with the same bag form one class without any comparison.
+Classes that share a band are candidates if their sizes and parities allow the threshold, and an
+exact comparison of the bags keeps those with a similarity of at least `threshold`.
 
-A band bucket is joined with itself by key, never collected: the larger and smaller representative
-meet in a sort-merge join, whose hot keys are split over salts (see `_pairs`). A pair that shares
-several bands is compared once.
+Parity: every word flips one of PARITY bits, so two bags whose parities differ in h bits differ in
+at least h words. This is a bound, not an estimate: it sorts out most pairs that meet in a band by
+chance while they are still in the join, and loses none.
+
+A band bucket is joined with itself by key, never collected; both sides read one exchange, and the
+skew join of adaptive execution splits a bucket that outgrows its task. A pair that shares several
+bands is compared once. Only the texts of classes in a candidate pair are read again for their bags.
 
 Nulls: rows with a null id or a null text are left out. A text without any word is similar to
 nothing, another such text included (0 of 0 words). Rows repeated under one id count once; an id
-with several texts is linked by any of them. Texts are processed whole; an empty table gives no
-rows; other columns are ignored.
+with several texts is linked by any of them, and joins their groups. Texts are processed whole; an
+empty table gives no rows; other columns are ignored. Classes are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -32,86 +37,120 @@ from ..session import cut, spread
 from . import dartminhash
 
 WORD = re.compile(r"[^\W_]+")
-#: Bands and rows a band: a pair at similarity .8 meets in a band with probability 1 - (1 - .8^8)^40 = .9994.
-BANDS, ROWS = 40, 8
-#: Sets sketched at once are cut at about so many (weight strip, rank cell) pairs, which bounds memory.
-CHUNK_CELLS = 400_000
-
-
-def _bag(text: str, memo: dict[str, int]) -> list[int]:
-    """The multiset of a text's words as a sorted list of distinct 64-bit numbers: the second
-    occurrence of a word is another number than the first, so set operations count repeats."""
-    out = []
-    for w, n in Counter(WORD.findall(text.lower())).items():
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            h = memo[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-        for i in range(1, n):
-            out.append(xxhash.xxh3_64_intdigest(f"{w} {i}"))
-    return out
+#: Bands and rows a band: a pair at similarity .8 meets in a band with probability 1 - (1 - .8^6)^22 = .9988.
+BANDS, ROWS = 22, 6
+#: A long holds the parity in its upper bits and the number of words, up to MOST, in the others.
+PARITY, SIZE_BITS = 52, 12
+MOST = 2**SIZE_BITS - 1
 
 
-def bags(records: DataFrame) -> DataFrame:
-    """records(id, text) -> id, bag (array of bigint), sig (128-bit hash of the bag)."""
+class _Hashes(dict):
+    """Words to 64-bit numbers, forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _bag(text: str, memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a text as sorted 64-bit numbers, and how often each occurs."""
+    n = Counter(WORD.findall(text.lower()))
+    h = np.fromiter((memo[w] for w in n), np.uint64, len(n))
+    by = np.argsort(h)
+    return h[by], np.fromiter(n.values(), np.int64, len(n))[by]
+
+
+def _unrolled(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bag as a set: the second occurrence of a word is another number than the first."""
+    if not len(counts) or counts.max() == 1:
+        return words
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    w = np.repeat(words, counts)
+    return np.where(nth == 0, w, dartminhash.mix(w + nth.astype(np.uint64)))
+
+
+def _class(words: np.ndarray, counts: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(words.tobytes() + counts.tobytes())
+
+
+def _clean(records: DataFrame) -> DataFrame:
+    return records.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+
+
+def sketches(records: DataFrame, n_bands: int = BANDS, n_rows: int = ROWS, seed: int = 1) -> DataFrame:
+    """records(id, text) -> id, cls (hash of the bag), parity (with the size), bands (array of int).
+    Texts without words have no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
+        memo = _Hashes()
         for pdf in batches:
-            bag = [np.sort(np.array(_bag(t, memo), np.uint64).view(np.int64)) for t in pdf["text"]]
-            sig = [xxhash.xxh3_128_digest(b.tobytes()) for b in bag]
-            yield pd.DataFrame({"id": pdf["id"], "bag": bag, "sig": sig})
-
-    return records.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(run, "id string, bag array<bigint>, sig binary").filter("size(bag) > 0")
+            got = [_bag(t, memo) for t in pdf["text"]]
+            cls = np.array([_class(w, c) for w, c in got], np.uint64).view(np.int64)
+            some = np.array([len(w) > 0 for w, _ in got], bool)
+            if not some.any():
+                continue
+            ids, cls = pdf["id"].to_numpy()[some], cls[some]
+            got = [g for g in got if len(g[0])]
+            # copies within a batch are sketched once
+            _, first, which = np.unique(cls, return_index=True, return_inverse=True)
+            mine = [got[i] for i in first]
+            owner = np.repeat(np.arange(len(mine), dtype=np.int32), [len(w) for w, _ in mine])
+            words, counts = np.concatenate([w for w, _ in mine]), np.concatenate([c for _, c in mine])
+            sig = dartminhash.sketch(owner, words, counts.astype(float), len(mine), n_bands * n_rows, seed)
+            keys = dartminhash.bands(sig, n_rows).astype(np.int32)
+            flips = np.zeros((len(mine), PARITY), np.int64)
+            np.add.at(flips, (owner, dartminhash.mix(words) % np.uint64(PARITY)), counts)
+            size = np.minimum(np.bincount(owner, counts, len(mine)).astype(np.int64), MOST)
+            parity = ((flips % 2) << np.arange(SIZE_BITS, SIZE_BITS + PARITY)).sum(axis=1) | size
+            yield pd.DataFrame({"id": ids, "cls": cls, "parity": parity[which], "bands": list(keys[which])})
+
+    return _clean(records).mapInPandas(run, "id string, cls bigint, parity bigint, bands array<int>")
 
 
-def _banded(classes: DataFrame, n_bands: int, n_rows: int, seed: int) -> DataFrame:
-    """classes(cls, bag) -> cls, size, band (one row per band)."""
-    k = n_bands * n_rows
-    need = k * (np.log(k) + 6)
+def bags(records: DataFrame) -> DataFrame:
+    """records(id, text) -> cls, bag (array of bigint, repeats as numbers of their own)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _Hashes()
         for pdf in batches:
-            sizes = pdf["bag"].map(len).to_numpy()
-            work = np.cumsum(sizes * np.ceil(need / np.maximum(sizes, 1)))
-            for _, at in pd.Series(np.arange(len(pdf))).groupby((work // CHUNK_CELLS).astype(int)):
-                at = at.to_numpy()
-                n = sizes[at]
-                elements = np.concatenate([np.asarray(pdf["bag"].iloc[i], np.int64) for i in at]).view(np.uint64)
-                sig = dartminhash.sketch(np.repeat(np.arange(len(at)), n), elements, np.ones(len(elements)), len(at), k, seed)
-                b = dartminhash.bands(sig, n_rows)
-                yield pd.DataFrame({"cls": np.repeat(pdf["cls"].to_numpy()[at], n_bands), "size": np.repeat(n, n_bands).astype(np.int32), "band": b.reshape(-1)})
-
-    return classes.mapInPandas(run, "cls bigint, size int, band bigint")
-
-
-def _pairs(banded: DataFrame, threshold: float, least: int = 2_000, salts: int = 16) -> DataFrame:
-    """Distinct candidates (a < b) of one bucket whose sizes allow the threshold. Buckets of at
-    least `least` members (HOT_KEYS at most) are cut: their left members go to `salts` tasks and
-    their right members to each of these; all other buckets are joined as they are."""
-    hot = F.broadcast(skew.hot_keys(banded, "band", least).select("band", F.lit(True).alias("_hot")))
-    x = banded.join(hot, "band", "left")
-    left = x.withColumn("_salt", F.when(F.col("_hot"), F.pmod("cls", F.lit(salts)).cast("int")).otherwise(0)).select("band", "_salt", F.col("cls").alias("a"), F.col("size").alias("na"))
-    right = x.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).select("band", "_salt", F.col("cls").alias("b"), F.col("size").alias("nb"))
-    fits = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    return left.join(right, ["band", "_salt"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+            got = [_bag(t, memo) for t in pdf["text"]]
+            yield pd.DataFrame({"cls": np.array([_class(w, c) for w, c in got], np.uint64).view(np.int64), "bag": [_unrolled(w, c).view(np.int64) for w, c in got]})
+
+    return _clean(records).mapInPandas(run, "cls bigint, bag array<bigint>").filter("size(bag) > 0")
+
+
+def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """classes(cls, parity, bands), one row each -> distinct candidates a < b: classes of one bucket
+    whose sizes and parities allow the threshold."""
+    rows = classes.select("cls", "parity", F.posexplode("bands").alias("_i", "_h"))
+    key = F.shiftleft(F.col("_i").cast("bigint"), 32).bitwiseOR(F.col("_h").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+    side = lambda cls, parity: rows.select(key.alias("band"), F.col("cls").alias(cls), F.col("parity").alias(parity))
+    na, nb = (F.col(p).bitwiseAND(F.lit(MOST).cast("bigint")) for p in ("pa", "pb"))
+    long = (na == MOST) | (nb == MOST)
+    fits = (na >= nb * threshold) & (nb >= na * threshold)
+    # |A and B| >= t / (1 + t) (na + nb), so at most (1 - t) / (1 + t) (na + nb) words lie in one bag alone
+    apart = F.bit_count(F.shiftrightunsigned(F.col("pa").bitwiseXOR(F.col("pb")), SIZE_BITS)) <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return side("a", "pa").join(side("b", "pb"), "band").filter((F.col("a") < F.col("b")) & (long | fits & apart)).select("a", "b").distinct()
 
 
 def classes_and_links(records: DataFrame, threshold: float = 0.8, n_bands: int = BANDS, n_rows: int = ROWS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: id, cls — the class of equal bags of each id (an id with several
     texts has several rows). links: a < b, classes whose similarity is at least `threshold`, and
-    the similarity. cls is a 64-bit hash of the class's bag."""
-    b = cut(bags(spread(records)), "bags")
-    cls = F.xxhash64("sig")
-    members = b.select("id", cls.alias("cls")).distinct()
-    reps = cut(b.groupBy(cls.alias("cls")).agg(F.first("bag").alias("bag")), "reps")
-    cand = _pairs(cut(_banded(spread(reps), n_bands, n_rows, seed), "bands"), threshold)
-    both = cand.join(reps.select(F.col("cls").alias("a"), F.col("bag").alias("bag_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("bag").alias("bag_b")), "b")
-    shared = F.size(F.array_intersect("bag_a", "bag_b"))
+    the similarity."""
+    s = cut(sketches(spread(records), n_bands, n_rows, seed), "sketches")
+    members = s.select("id", "cls").distinct()
+    cand = cut(_pairs(s.select("cls", "parity", "bands").distinct(), threshold), "candidates")
+    need = cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    # one record of each class that a candidate needs
+    pick = s.select("cls", "id").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
+    texts = _clean(records).join(pick.select("id").distinct(), "id", "left_semi").distinct()
+    bag = bags(texts).join(need, "cls", "left_semi").groupBy("cls").agg(F.first("bag").alias("bag"))
+    bag = cut(bag, "bags")
+    both = cand.join(bag.select(F.col("cls").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("cls").alias("b"), F.col("bag").alias("bag_b")), "b")
     links = (
-        both.withColumn("_s", shared)
+        both.withColumn("_s", F.size(F.array_intersect("bag_a", "bag_b")))
         .withColumn("similarity", F.col("_s") / (F.size("bag_a") + F.size("bag_b") - F.col("_s")))
         .filter(F.col("similarity") >= threshold)
         .select("a", "b", "similarity")
@@ -135,7 +174,12 @@ def groups(records: DataFrame, threshold: float = 0.8, rounds: int = 40, **how)
     with the same bag, itself included) and links (similar classes). Components are found by
     alternating minimum label and pointer jumping, each round written to the shared folder."""
     members, links = classes_and_links(records, threshold, **how)
-    sym = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    members = cut(members, "members")
+    # the classes of an id with several texts are one group
+    several = members.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("_b")).filter("a < _b").select("id", "a")
+    same = skew.lookup(members, several, "id", "inner").filter("cls <> a").select("a", F.col("cls").alias("b"))
+    both = lambda df: df.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(df.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    sym = cut(both(links.select("a", "b").unionByName(same)).distinct(), "edges")
     label = cut(members.select(F.col("cls").alias("x")).distinct().withColumn("label", F.col("x")), "label")
     for _ in range(rounds):
         least = skew.lookup(sym, label.withColumnRenamed("x", "y"), "y", "inner").groupBy("x").agg(F.min("label").alias("other"))
@@ -149,7 +193,7 @@ def groups(records: DataFrame, threshold: float = 0.8, rounds: int = 40, **how)
             break
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
-    degree = sym.groupBy("x").agg(F.count(F.lit(1)).alias("links"))
+    degree = both(links).groupBy("x").agg(F.count(F.lit(1)).alias("links"))
     copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
     per_class = label.join(degree, "x", "left").join(copies, label.x == copies.cls).select(F.col("x").alias("cls"), F.col("label").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     return skew.lookup(members, per_class, "cls", "inner").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("copies").alias("copies"), F.max("links").alias("links"))
