@@ -20,7 +20,7 @@ def test_states(spark):
 def test_composite_masks(spark):
     refs = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, None, "y"), (4, None, None), (5, "b", "x"), (6, "q", None), (7, "a|", "x")], "id long, p string, q string")
     parents = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "|x"), (None, "x")], "p string, q string")
-    got = lambda m: {r.id: r._found for r in O.orphans(refs, ["p", "q"], parents, ["p", "q"], m, least=1).collect()}
+    got = lambda m: {r.id: r._found for r in O.orphans(refs, ["p", "q"], parents, ["p", "q"], m).collect()}
     assert got("simple") == {1: True, 2: None, 3: None, 4: None, 5: False, 6: None, 7: False}
     assert got("partial") == {1: True, 2: True, 3: True, 4: None, 5: False, 6: False, 7: False}
     assert got("full") == {1: True, 2: False, 3: False, 4: None, 5: False, 6: False, 7: False}

@@ -15,9 +15,9 @@ def _rows(n=2000, seed=1):
 def test_lookup_equals_join(spark):
     left = spark.createDataFrame(_rows(), "id long, k string, t double, v long")
     right = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3)], "k string, w long")
-    for how in ("left", "inner"):
+    for how, hot in (("left", ["hot"]), ("inner", ["hot", "z"]), ("left", ())):
         want = sorted((r.id, r.w) for r in left.join(right, "k", how).collect() if True)
-        got = sorted((r.id, r.w) for r in skew.lookup(left, right, "k", how, least=100, salts=4).collect())
+        got = sorted((r.id, r.w) for r in skew.lookup(left, right, "k", how, hot=hot, salts=4).collect())
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
@@ -35,6 +35,28 @@ def test_blocks_running_and_previous(spark):
         by[k] = (total + v, i)
 
 
+def test_one_block_reads_once(spark, data):
+    """No group is large: no totals, no joins, one scan."""
+    from tidewell.sources.tables import table
+
+    df = skew.with_blocks(table(spark, data, "messages", "id", "session_id", "timestamp"), ["session_id"], "timestamp")
+    for d in (skew.running(df, ["session_id"], ["timestamp", "id"], {"n": F.lit(1)}), skew.previous(df, ["session_id"], ["timestamp", "id"], ["id"])):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_previous_where(spark):
+    rows = _rows()
+    for n in (100, 10**6):
+        df = skew.with_blocks(spark.createDataFrame(rows, "id long, k string, t double, v long"), ["k"], "t", rows=n, cuts=16)
+        got = {r.id: r._prev.id if r._prev else None for r in skew.previous(df, ["k"], ["t", "id"], ["id"], where=F.col("v") > 5).collect()}
+        last = {}
+        for i, k, t, v in sorted(rows, key=lambda r: (repr(r[1]), r[2], r[0])):
+            assert got[i] == last.get(k)
+            if v > 5:
+                last[k] = i
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], "id long, k string, t double, v long")
     b = skew.with_blocks(e, ["k"], "t")

@@ -33,7 +33,7 @@ def _mask(cols: list[str]) -> Column:
     return F.concat(*[F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")) for c in cols])
 
 
-def orphans(refs: DataFrame, ref_cols: list[str], parents: DataFrame, key_cols: list[str], match: str = "simple", born: str | None = None, least: int = skew.HOT_ROWS) -> DataFrame:
+def orphans(refs: DataFrame, ref_cols: list[str], parents: DataFrame, key_cols: list[str], match: str = "simple", born: str | None = None) -> DataFrame:
     """refs plus `_found` (boolean: a parent exists; null where the reference refers to nothing)
     and, where `born` names a column of parents, `_born` (the earliest value of the matching
     parents). Repeated rows of refs stay repeated; clashing names in parents do no harm, since
@@ -57,7 +57,7 @@ def orphans(refs: DataFrame, ref_cols: list[str], parents: DataFrame, key_cols:
         side = seen.filter(" AND ".join(f"_p{i} IS NOT NULL" for i in some))
         of = lambda names: F.col(names[0]).cast("string") if len(names) == 1 else F.to_json(F.array(*[F.col(x).cast("string") for x in names]))
         side = side.select(of([f"_p{i}" for i in some]).alias("_key"), "_b").groupBy("_key").agg(F.min("_b").cast("double").alias("_born"), F.lit(True).alias("_hit"))
-        joined = skew.lookup(part.withColumn("_key", of([ref_cols[i] for i in some])), side, "_key", least=least)
+        joined = skew.lookup(part.withColumn("_key", of([ref_cols[i] for i in some])), side, "_key")
         parts.append(joined.select(*refs.columns, F.coalesce("_hit", F.lit(False)).alias("_found"), "_born"))
     out = parts[0].select(*refs.columns, "_found", "_born")
     for p in parts[1:]:
