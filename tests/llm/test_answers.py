@@ -1,29 +1,55 @@
 """Pairs: each defect, hard cases that are none, questions across blocks, edges."""
 
+import random
+
 import pytest
 
 from tidewell.llm import answers as A
+from tidewell.llm import refusals as R
 
 M = "id long, session_id string, role string, content string, timestamp double, turn_id string"
 T = "turn_id long, session_id string, role string, content string, timestamp double"
 
 
-@pytest.mark.parametrize("t", ["I'm sorry, but I can't help with that.", "As an assistant I must decline this request.", "Unfortunately this is something I'm unable to assist with. Please ask someone else.", "i wont answer that", "Darüber möchte ich nicht sprechen.", "Es tut mir leid, dabei kann ich nicht helfen.", "Je suis désolé, je ne peux pas aider à ce sujet.", "Je préfère ne pas répondre.", "Lo siento, no puedo ayudar con eso.", "No se me permite hablar de ello.", "My apologies, I have to pass on this one; there is nothing I may tell you."])
+REFUSED = ["I'm sorry, but I can't help with that.", "As an assistant I must decline this request.", "Unfortunately this is something I'm unable to assist with. Please ask someone else.", "i wont answer that", "Darüber möchte ich nicht sprechen.", "Es tut mir leid, dabei kann ich nicht helfen.", "Je suis désolé, je ne peux pas aider à ce sujet.", "Je préfère ne pas répondre.", "Lo siento, no puedo ayudar con eso.", "No se me permite hablar de ello.", "My apologies, I have to pass on this one; there is nothing I may tell you."]
+#: Phrasings that no example has.
+OTHERWISE = ["I'm going to have to pass on that.", "That's not something I can get into.", "I'd prefer to leave that question alone, sorry.", "This falls outside my remit.", "Dazu sage ich nichts.", "Das beantworte ich nicht.", "Je ne répondrai pas à cela.", "No voy a contestar eso.", "Eso no te lo puedo decir.", "I'm afraid I can't be of assistance here.", "My principles forbid me from answering.", "Ich sehe mich außerstande, darauf zu antworten.", "Je m'abstiens de tout commentaire.", "Me abstengo de opinar.", "I'd better not comment on that.", "Nope, I will not go there.", "I have nothing to share about this.", "Regretfully, I must withhold an answer."]
+
+
+@pytest.mark.parametrize("t", REFUSED)
 def test_refusals(t):
-    assert A.is_refusal(t)
+    assert R.judge()(t)
+
+
+def test_refusals_phrased_otherwise():
+    assert sum(map(R.judge(), OTHERWISE)) >= 0.9 * len(OTHERWISE)
+
+
+def test_held_out_phrasings():
+    r, j = random.Random(3), R.judge()
+    for k, frames in ((2, R.REFUSING), (1, R.COURTEOUS), (0, R.SAYING)):
+        held = frames[3::4]
+        assert sum(x == k for x in j.clauses([R._filled(r, f) for f in held])) >= 0.9 * len(held)
 
 
-@pytest.mark.parametrize("t", ["I cannot stress enough that it needs a restart first; after that it works.", "Sorry for the late reply, the fix is to raise the limit.", "You can't run both at once.", "Leider startet es nur nach dem Planer, danach geht es.", "I can't help with that, but the log says the queue is full.", "I don't know yet, the planner will tell.", "", "done"])
+@pytest.mark.parametrize("t", ["I cannot stress enough that it needs a restart first; after that it works.", "Sorry for the late reply, the fix is to raise the limit.", "You can't run both at once.", "Leider startet es nur nach dem Planer, danach geht es.", "I can't help with that, but the log says the queue is full.", "I don't know yet, the planner will tell.", "", "done", "Stop the queue first.", "The form was declined twice, so the limit is lower now."])
 def test_no_refusals(t):
-    assert not A.is_refusal(t)
+    assert not R.judge()(t)
 
 
 def test_copies():
-    q = "What is the safest way to move the planner to the archive?"
-    assert A.is_copy(q, q) and A.is_copy(q, q.upper()) and A.is_copy(q, f"You asked: {q}") and A.is_copy(q, f"{q}\n{q}")
-    assert not A.is_copy(q, f"> {q}\nStop the queue first, then copy the folder and start it again.")
-    assert not A.is_copy(q, "Move the planner after the archive run has ended and the queue is empty.")
-    assert not A.is_copy(q, "ok")
+    q, m = "What is the safest way to move the planner to the archive?", A.copy_limits()
+    copy = lambda a: A.is_copy(q, a, m)
+    assert copy(q) and copy(q.upper()) and copy(f"You asked: {q}") and copy(f"{q}\n{q}") and copy(q.replace("safest", "quickest"))
+    assert not copy(f"> {q}\nStop the queue first, then copy the folder and start it again.")
+    assert not copy("Move the planner after the archive run has ended and the queue is empty.")
+    assert not copy("ok")
+
+
+def test_compression_decides_copies():
+    """No limit on what is left over: nothing is a copy; any: everything is."""
+    q, a = "What is the safest way to move the planner to the archive?", "Stop the queue first, then copy the folder and start it again."
+    assert not A.is_copy(q, q, A.Limits(0.0, 0.0, 0.0)) and A.is_copy(q, a, A.Limits(9.0, 9.0, 9.0))
 
 
 def _messages(spark):

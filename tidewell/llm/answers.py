@@ -4,9 +4,10 @@ Each assistant row is set against the question before it — the user rows since
 or the last user row — and gets at most one defect:
 
 - empty: blank content;
-- refusal: every sentence is a refusal or its courtesy (dictionaries in four languages);
+- refusal: every clause is judged a refusal or its courtesy (see refusals);
 - copy: the answer, compressed with its question as zstandard dictionary, leaves next to nothing,
-  and what it leaves are no new words;
+  and so does the question compressed with the answer; the limits are calibrated on made-up answers
+  that give the question back and such that quote it and go on;
 - language: language dictionaries see another language than the question's, none the question asks for;
 - truncated: it ends without a stop where sentences go on, or inside a bracket, quote or fence
   (terminal contexts, see endings).
@@ -20,114 +21,127 @@ give one row. Empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import skew
-from ..session import cut, spread
-from . import endings, languages
+from ..session import cut
+from . import endings, languages, refusals
 from .conversations import MILLIS_FROM, is_blank, speaker
 
-#: What a sentence of a refusal says, per language.
-REFUSAL = [
-    r"\bi(?:'m| am)?\s+(?:really\s+|very\s+|afraid\s+i\s+|sorry,?\s+(?:but\s+)?i\s+)*(?:can(?:not|'?t| not)|won'?t|will not|wouldn'?t|must|have to|may not|unable|not able|not allowed|not permitted|not at liberty|not comfortable|need to|refuse|decline)\b.*\b(?:help|assist\w*|answer\w*|respond\w*|discuss\w*|share|talk\w*|continue|provide|comment\w*|tell|comply|do that|say|decline|refuse|pass|engage|fulfil\w*|speak|give|offer)\b",
-    r"\bi(?:'d| would)\s+(?:rather|prefer)\b.*\bnot\b",
-    r"\bi\s+(?:must|have to|need to)\s+(?:respectfully\s+|politely\s+)?(?:decline|refuse|pass)\b",
-    r"\b(?:unable|not able|not allowed|not permitted)\s+to\s+(?:help|assist|answer|respond|discuss|share|talk|comment|provide)\b",
-    r"\b(?:something|topic|anything)\b.*\b(?:i can(?:not|'?t)|i'm unable|i am unable|i won'?t|i may not)\b",
-    r"\b(?:not be|isn'?t|is not) appropriate for me\b",
-    r"\bagainst my (?:guidelines|policy|policies|rules|principles|instructions)\b",
-    r"\b(?:are|is|lies|falls) outside (?:of )?what i\b",
-    r"\bnothing i (?:may|can|am able to) (?:tell|say|share)\b",
-    r"\bi don'?t feel comfortable\b",
-    r"\b(?:kann|darf|möchte|will|werde|könnte) (?:ich|dir|ihnen|leider|hierzu|dazu|dabei|darüber|damit|das|da|wir|hier)\b.*\b(?:nicht|keine?n?)\b.*\b(?:helfen|sprechen|beantworten|antworten|auskunft|reden|sagen|äußern|unterstützen|weiterhelfen|geben|eingehen|fortfahren)\b",
-    r"\bich (?:kann|darf|möchte|will|werde|muss)\b.*\b(?:nicht|keine?n?|ablehnen|verweigern)\b.*(?:helfen|sprechen|beantworten|antworten|auskunft|reden|sagen|äußern|unterstützen|weiterhelfen|geben|eingehen|ablehnen|fortfahren|verweigern|)\s*[.!]?$",
-    r"\bmuss ich\b.*\b(?:ablehnen|passen|verweigern)\b|\b(?:das|diese (?:bitte|anfrage)) (?:muss|möchte|kann) ich (?:leider )?(?:ablehnen|nicht)\b|\bich lehne\b.*\bab\b|\bkeine auskunft\b|\bverstößt gegen meine\b",
-    r"\bje (?:ne )?(?:peux|puis|suis|dois|préfère|refuse|regrette|souhaite|veux)\b.*\b(?:pas|refuser|décliner|refuse|impossible)\b.*(?:aider|répondre|discuter|parler|partager|dire|commenter|autorisé|mesure|droit|sujet|demande|donner|poursuivre|continuer|traiter|)\s*[.!]?$",
-    r"\bje (?:dois|préfère|souhaite) (?:refuser|décliner|ne pas)\b|\bil m'est (?:impossible|interdit)\b|\bje (?:refuse|décline)\b|\bcontraire à mes\b|\bje n'ai pas le droit\b|\bje n'ai rien à dire\b|\bne (?:peux|puis) rien dire\b",
-    r"\bno (?:puedo|debo|quiero|voy a|me es posible|se me permite|estoy autorizad[oa]|me está permitido|me siento cómod[oa]|soy capaz)\b.*\b(?:ayudar\w*|responder\w*|hablar|discutir|compartir|comentar|decir|contestar|tratar|seguir|dar|eso|esto)\b",
-    r"\bprefiero no\b|\b(?:debo|tengo que|he de) (?:rechazar|negarme|declinar)\b|\bno se me permite\b|\bva en contra de mis\b|\brechazo (?:esta|la) petición\b|\bme niego a\b",
-]
-#: Courtesies around a refusal.
-COURTESY = [
-    r"^(?:i'?m |i am )?(?:so |very |really )?sorry\b[^.]{0,30}$", r"^my apologies$", r"^(?:my )?apologies$", r"^unfortunately$", r"^please (?:ask|try|contact|consult)\b", r"^(?:es )?tut mir (?:sehr )?leid$", r"^leider$", r"^bitte (?:frag|wende|versuch)", r"^(?:je suis )?(?:vraiment )?désolée?$", r"^malheureusement$", r"^(?:veuillez|merci de|demande[zr]?|adresse[zr]?)\b", r"^lo siento(?: mucho)?$", r"^(?:por favor|pregunta|pregunte|consulta|consulte)\b", r"^no$", r"^nein$", r"^non$", r"^thank you for (?:understanding|your understanding)$", r"^(?:is there anything|can i help|let me know)\b",
-]
 #: What introduces a question given back.
 LEAD_IN = re.compile(r"^\W*(?:you asked|you said|you wrote|your question(?: was| is)?|question|the question (?:was|is)|quote|du (?:hast gefragt|fragtest)|sie (?:haben gefragt|fragten)|(?:deine|ihre) frage(?: war| ist| lautet)?|frage|vous avez demandé|vous demandiez|tu as demandé|tu demandais|votre question(?: était)?|ta question(?: était)?|preguntaste|has preguntado|usted preguntó|tu pregunta(?: era| es)?|su pregunta(?: era| es)?|pregunta)\b\s*[:,–-]?\s*", re.I)
 
-_REFUSAL = re.compile("|".join(REFUSAL))
-_COURTESY = re.compile("|".join(COURTESY))
-#: Sentences that use words of refusal and refuse nothing.
-_REAL = re.compile(r"\bcannot stress\b|\bcan'?t stress\b|\bcannot recommend\b.*\benough\b")
 _SPLIT = re.compile(r"(?<=[.!?;])\s+|\n+")
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|https?://\S+|\S+@\S+|\b\w+\(\)", re.S)
-#: A refusal is judged clause by clause: what follows a "but" may be an answer.
-_CLAUSE = re.compile(r"(?<=[.!?;])\s+|\n+|,?\s+(?:but|aber|mais|pero)\s+")
 _WORD = re.compile(r"[^\W_]+")
+#: What a frame of zstandard takes besides the data.
+_FRAME = 9
+_PLAIN = {"level": 3, "write_content_size": False, "write_checksum": False}
 
 
-def is_refusal(text: str) -> bool:
-    """Nothing but a refusal to answer."""
-    refused = False
-    for s in _CLAUSE.split(text.lower().replace("’", "'").strip()):
-        s = s.strip(" .!?;*_\"'`>")
-        if not s:
-            continue
-        if _REFUSAL.search(s) and not _REAL.search(s):
-            refused = True
-        elif not _COURTESY.search(s):
-            return False
-    return refused
+def left_over(known: str, text: str) -> float:
+    """Compressed size of the text with `known` as dictionary, over that without it."""
+    t = text.encode()
+    d = zstandard.ZstdCompressionDict(known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    bare = len(zstandard.ZstdCompressor(**_PLAIN).compress(t))
+    return max(0, len(zstandard.ZstdCompressor(dict_data=d, **_PLAIN).compress(t)) - _FRAME) / max(1, bare - _FRAME)
 
 
-def left_over(question: str, answer: str) -> float:
-    """Compressed size of the answer with the question as dictionary, over that without it."""
-    a = answer.encode()
-    d = zstandard.ZstdCompressionDict(question.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = {"level": 3, "write_content_size": False, "write_checksum": False}
-    bare = len(zstandard.ZstdCompressor(**how).compress(a))
-    return max(0, len(zstandard.ZstdCompressor(dict_data=d, **how).compress(a)) - 9) / max(1, bare - 9)
+class Limits(NamedTuple):
+    """A copy leaves at most `new` of itself beyond the question, `apart` more than the question
+    leaves beyond it, and the question at most `lost` beyond the copy."""
 
+    new: float
+    lost: float
+    apart: float
 
-def is_copy(question: str, answer: str, most: float = 0.5) -> bool:
+
+def _spoken(text: str) -> str:
+    return " ".join(_WORD.findall(text.casefold()))
+
+
+def measures(question: str, answer: str, most: float = 1.0) -> tuple[float, float] | None:
+    """(what the answer leaves beyond the question, what the question, whole or its last sentence,
+    leaves beyond the answer); None if either has too few words or the first is above `most`."""
+    a, q = _spoken(LEAD_IN.sub("", answer)), _spoken(question)
+    if a.count(" ") < 2 or q.count(" ") < 2:
+        return None
+    new = left_over(q, a)
+    if new > most:
+        return None
+    last = _spoken([s for s in _SPLIT.split(question) if _WORD.search(s)][-1])
+    return new, min(left_over(a, q), left_over(a, last) if 2 <= last.count(" ") and last != q else 1.0)
+
+
+def is_copy(question: str, answer: str, limits: Limits) -> bool:
     """The answer gives back the question and nothing new."""
-    a = LEAD_IN.sub("", answer.casefold())
-    aw, q = _WORD.findall(a), question.casefold()
-    qw = set(_WORD.findall(q))
-    if len(aw) < 3 or len(qw) < 3 or left_over(" ".join(_WORD.findall(q)), " ".join(aw)) > most:
-        return False
-    new = [w for w in aw if w not in qw]
-    last = _WORD.findall([s for s in _SPLIT.split(q) if _WORD.search(s)][-1])
-    covered = max(len(qw & set(aw)) / len(qw), len(set(last) & set(aw)) / len(set(last)) if len(last) >= 3 else 0)
-    return len(new) <= max(1, len(aw) // 8) and covered >= 0.7
+    got = measures(question, answer, limits.new)
+    return got is not None and got[1] <= limits.lost and got[0] - got[1] <= limits.apart
+
+
+@cache
+def copy_limits(n: int = 400, seed: int = 3) -> Limits:
+    """Calibrated on made-up questions with answers that copy them and answers that do not."""
+    r = random.Random(seed)
+    empty = {x: sorted(set(w.split())) for x, w in languages.SEEDS.items()}
+    made = lambda: "".join(r.choice("ba do fe gar hi jol ka lum mo ne pas ro sen ta vu wir".split()) for _ in range(r.randint(2, 4)))
+
+    def sentence(lang: str, end: str = ".") -> str:
+        return " ".join(r.choice(empty[lang]) if r.random() < 0.55 else made() if r.random() < 0.8 else str(r.randint(1, 99999)) for _ in range(r.randint(6, 16))).capitalize() + end
+
+    rows = []
+    for _ in range(n):
+        lang = r.choice(languages.LANGS)
+        last = sentence(lang, "?")
+        q = " ".join([sentence(lang) for _ in range(r.choice((0, 0, 1, 2)))] + [last])
+        w = last.split()
+        edited = w[:]
+        edited[r.randrange(len(w))] = made()
+        longer = w[:]
+        longer.insert(r.randrange(1, len(w)), made() + made())
+        for copy in (q, q.upper(), last, f"{q}\n{q}", q.replace("?", "."), " ".join(edited), " ".join(longer)):
+            rows.append((q, copy, True))
+        topic = r.choice([x for x in w if len(x) > 5] or w)
+        short = " ".join([*(r.choice(empty[lang]) for _ in range(2)), made(), made()]) + "."
+        for other in (sentence(lang), f"> {q}\n{sentence(lang)}", f"{last} {sentence(lang)}", f"> {q}\n{short}", f"{topic} {sentence(lang)}", " ".join(w[: len(w) // 2]) + " " + sentence(lang)):
+            rows.append((q, other, False))
+    got = [(*m, y) for q, a, y in rows if (m := measures(q, a)) is not None]
+    new, lost, y = (np.array(c) for c in zip(*got, strict=True))
+    best, at = -1.0, []
+    for i in np.arange(0.2, 0.71, 0.05):
+        for j in np.arange(0.2, 0.71, 0.05):
+            for k in np.arange(0.05, 0.41, 0.05):
+                right = float((((new <= i) & (lost <= j) & (new - lost <= k)) == y).mean())
+                if right > best + 1e-9:
+                    best, at = right, []
+                if right >= best - 1e-9:
+                    at.append((i, j, k))
+    return Limits(*map(float, np.median(np.array(at), axis=0)))
 
 
 def pairs(rows: DataFrame) -> DataFrame:
     """rows(table_name, id, session_id, speaker, said, seconds, content) -> the assistant rows with
     `question` (null if there is none) and `answer`."""
     r = rows.filter("speaker IN ('user', 'assistant')")
-    r = skew.with_blocks(r, ["table_name", "session_id"], "seconds")
-    w = Window.partitionBy("table_name", "session_id", "_block").orderBy("seconds", "id")
-    user = (F.col("speaker") == "user") & F.col("said")
-    answer = F.col("speaker") == "assistant"
-    r = r.withColumn("_last", F.last(F.when(user, F.col("content")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = r.groupBy(F.col("table_name").alias("_t"), F.col("session_id").alias("_s"), F.col("_block").alias("_b")).agg(F.max(F.when(user, F.struct("seconds", "id", "content"))).alias("_e"))
-    before = Window.partitionBy("_t", "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a block: as many as skew.with_blocks makes, a bounded number
-    carried = F.broadcast(ends.withColumn("_carry", F.last("_e.content", ignorenulls=True).over(before)).filter("_b > 0").select("_t", "_s", "_b", "_carry"))
-    r = r.join(carried, (F.col("table_name") == F.col("_t")) & F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
+    keys, order = ["table_name", "session_id"], ["seconds", "id"]
+    user, answer = (F.col("speaker") == "user") & F.col("said"), F.col("speaker") == "assistant"
+    r = skew.with_blocks(r, keys, "seconds")
+    r = skew.previous(r, keys, order, ["content"], "_last", where=user)
     # a run is the rows since the previous answer and the answer that ends it, however many and in whatever blocks
-    r = skew.running(r.drop("_t", "_s", "_b"), ["table_name", "session_id"], ["seconds", "id"], {"_run": answer.cast("long")})
-    runs = r.groupBy("table_name", "session_id", (F.col("_run") - answer.cast("long")).alias("_run")).agg(
+    r = skew.running(r, keys, order, {"_run": answer.cast("long")})
+    runs = r.groupBy(*keys, (F.col("_run") - answer.cast("long")).alias("_run")).agg(
         F.array_sort(F.collect_list(F.when(user, F.struct("seconds", "id", "content")))).alias("_asked"),
-        F.max(F.when(answer, F.struct("id", "said", "content", F.coalesce("_last", "_carry").alias("last")))).alias("_a"),
+        F.max(F.when(answer, F.struct("id", "said", "content", F.col("_last.content").alias("last")))).alias("_a"),
     )
     asked = F.when(F.size("_asked") > 0, F.array_join(F.transform("_asked", lambda x: x["content"]), "\n"))
     return runs.filter("_a IS NOT NULL").select("table_name", "_a.id", F.coalesce(asked, "_a.last").alias("question"), "_a.said", F.col("_a.content").alias("answer"))
@@ -147,19 +161,21 @@ def judged(messages: DataFrame, turns: DataFrame) -> DataFrame:
     """table_name, answer_id, defect (null for a sound pair) of every assistant row."""
     rows = cut(all_rows(messages, turns), "rows")
     texts = rows.filter("said").select(F.col("content").alias("text"))
-    words = endings.vocabulary(texts)
-    known = languages.dictionary(texts)
+    common = languages.frequent(languages.counts(texts))
+    words, known = endings.chosen(common, texts.count()), languages.dictionary(common)
+    refuses, limits = refusals.judge(), copy_limits()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             labels, looks = [], []
-            for q, said, a in zip(pdf["question"], pdf["said"], pdf["answer"], strict=True):
+            refused = refuses.texts([a if said else "" for said, a in zip(pdf["said"], pdf["answer"], strict=True)])
+            for q, said, a, no in zip(pdf["question"], pdf["said"], pdf["answer"], refused, strict=True):
                 label, tail = None, (True, False, False, [0, 0, 0, 0])
                 if not said:
                     label = "empty"
-                elif is_refusal(a):
+                elif no:
                     label = "refusal"
-                elif isinstance(q, str) and is_copy(q, a):
+                elif isinstance(q, str) and is_copy(q, a, limits):
                     label = "copy"
                 else:
                     if isinstance(q, str):
@@ -177,7 +193,7 @@ def judged(messages: DataFrame, turns: DataFrame) -> DataFrame:
                 }
             )
 
-    found = cut(spread(pairs(rows)).mapInPandas(run, "table_name string, answer_id bigint, label string, ended boolean, marked boolean, open boolean, k0 bigint, k1 bigint, k2 bigint, k3 bigint"), "answers")
+    found = cut(pairs(rows).mapInPandas(run, "table_name string, answer_id bigint, label string, ended boolean, marked boolean, open boolean, k0 bigint, k1 bigint, k2 bigint, k3 bigint"), "answers")
     t = endings.end_chance(found, endings.contexts(texts.distinct(), words))
     cut_off = ~F.col("ended") & (F.col("open") | (F.col("chance") < endings.UNFINISHED))
     return t.select("table_name", "answer_id", F.coalesce("label", F.when(cut_off, "truncated")).alias("defect")).distinct()

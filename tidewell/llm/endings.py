@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import skew
 from ..session import spread
+from . import languages
 
 #: Words that stand for themselves; packed into 12 bits with the classes below.
 VOCABULARY = 4000
@@ -55,13 +56,12 @@ class Words(dict):
 
 def vocabulary(texts: DataFrame) -> Words:
     """texts(text) -> the numbers of the frequent words. A bounded aggregate over all texts."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    n = texts.filter("text IS NOT NULL").count()
-    rows = (
-        spread(texts).filter("text IS NOT NULL").select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= max(4, n // ONE_IN)).orderBy(F.desc("n"), "w").limit(VOCABULARY - _BASE).collect()
-    )
-    return Words([r.w for r in rows])
+    return chosen(languages.frequent(languages.counts(spread(texts)), VOCABULARY - _BASE), texts.filter("text IS NOT NULL").count())
+
+
+def chosen(rows: list, texts: int) -> Words:
+    """The vocabulary out of `languages.frequent`, for a corpus of so many texts."""
+    return Words([r.w for r in rows[: VOCABULARY - _BASE] if r.n >= max(4, texts // ONE_IN)])
 
 
 def _number(token: str, words: Words) -> int:
@@ -221,16 +221,16 @@ def tails(texts: DataFrame, keys: list[str], words: Words) -> DataFrame:
     return spread(texts.select(*keys, "text")).mapInPandas(run, schema)
 
 
-def end_chance(tail: DataFrame, counts: DataFrame, least: int = skew.HOT_ROWS) -> DataFrame:
+def end_chance(tail: DataFrame, counts: DataFrame) -> DataFrame:
     """tail plus `chance`, the backed-off chance that a sentence ends there. Distinct tails are
     scored once; the records then look their tail's score up, hot tails spread over tasks."""
     pattern = F.xxhash64("k0", "k1", "k2", "k3")
     distinct = tail.select("k0", "k1", "k2", "k3").distinct()
     one = distinct.select(pattern.alias("pattern"), F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("order", "key"))
-    scored = skew.lookup(one, counts, "key", least=least).groupBy("pattern").agg(
+    scored = skew.lookup(one, counts, "key").groupBy("pattern").agg(
         *[F.max(F.when(F.col("order") == i, F.col("ends") + F.when(F.col("finals") >= FINALS, F.col("finals") - 1).otherwise(0))).alias(f"e{i}") for i in range(4)], *[F.max(F.when(F.col("order") == i, F.col("seen"))).alias(f"n{i}") for i in range(4)]
     )
     p: Column = F.lit(UNKNOWN)
     for i in (3, 2, 1, 0):
         p = (F.coalesce(F.col(f"e{i}"), F.lit(0)) + BACKOFF * p) / (F.coalesce(F.col(f"n{i}"), F.lit(0)) + BACKOFF)
-    return skew.lookup(tail.withColumn("pattern", pattern), scored.select("pattern", p.alias("chance")), "pattern", least=least).drop("pattern")
+    return skew.lookup(tail.withColumn("pattern", pattern), scored.select("pattern", p.alias("chance")), "pattern").drop("pattern")

@@ -1,22 +1,19 @@
 """Which of four languages a text is in, by word dictionaries.
 
 The seeds are closed-class words. `dictionary` extends them from a corpus: texts the seeds decide
-count for their language, and every frequent word gets its log-odds for each language. The counts
-cover the whole corpus; the dictionary has at most `most` words.
+count for their language, and a word gets its log-odds for each language, drawn to even by SMOOTH
+texts, so that a rare word says little. The counts cover the whole corpus; the dictionary has at
+most `most` words, the most frequent ones.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 LANGS = ("en", "de", "fr", "es")
 #: Closed-class words of each language that the others lack.
 SEEDS = {
@@ -34,54 +31,59 @@ for _l, _w in SEEDS.items():
         _SEED.setdefault(_x, set()).add(_l)
 
 
-def by_seeds(words: list[str]) -> str | None:
-    """The language whose seeds lead by at least two."""
-    n = dict.fromkeys(LANGS, 0)
-    for w in words:
-        for lang in _SEED.get(w, ()):
-            n[lang] += 1
-    best = sorted(n.items(), key=lambda kv: -kv[1])
-    return best[0][0] if best[0][1] >= best[1][1] + 2 else None
-
-
-def dictionary(texts: DataFrame, least: int = 5, most: int = 20_000) -> dict[str, np.ndarray]:
-    """texts(text) -> the log-odds per language of each frequent word."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: dict[tuple[str, str], int] = {}
-            for t in pdf["text"]:
-                w = WORD.findall(t.lower())
-                lang = by_seeds(w)
-                if lang:
-                    for x in set(w):
-                        out[x, lang] = out.get((x, lang), 0) + 1
-            yield pd.DataFrame({"w": [k[0] for k in out], "lang": [k[1] for k in out], "n": np.array(list(out.values()), np.int64)})
-
-    texts = texts.filter("text IS NOT NULL")
-    docs = texts.count()
-    per = spread(texts).mapInPandas(run, "w string, lang string, n bigint").groupBy("w").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(x) for x in LANGS])
-    total = sum((F.col(x) for x in LANGS), F.lit(0))
-    rows = per.withColumn("n", total).filter(F.col("n") >= max(least, docs // 2000)).orderBy(F.desc("n"), "w").limit(most).collect()
-    sizes = np.array([sum(r[x] for r in rows) for x in LANGS], float)
-    out = {}
-    for r in rows:
-        # a language that the corpus lacks is out of the question
-        p = np.where(sizes > 0, (np.array([r[x] for x in LANGS], float) + 0.3) / (sizes + 0.3 * len(rows)), 1e-12)
-        out[r.w] = np.log(p / p.mean())
-    return out
-
-
-def detect(text: str, words: dict[str, np.ndarray], margin: float = 2.5) -> str | None:
+#: Texts of each language that a word is taken to occur in besides those seen.
+SMOOTH = 4.0
+Words = dict[str, tuple[float, float, float, float]]
+
+
+def by_seeds(n: list[Column]) -> Column:
+    """The language whose seeds, counted in n, lead by at least two, null if none does."""
+    led = F.lit(None).cast("string")
+    for i, x in enumerate(LANGS):
+        rest = F.greatest(*[c for j, c in enumerate(n) if j != i])
+        led = F.when(n[i] >= rest + 2, x).otherwise(led)
+    return led
+
+
+def counts(texts: DataFrame) -> DataFrame:
+    """texts(text) -> w, n (texts that have the word) and for each language the texts of it that do."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    t = texts.filter("text IS NOT NULL").select(words.alias("_w"))
+    t = t.select("_w", *[F.size(F.array_intersect("_w", F.array(*[F.lit(w) for w in sorted(set(SEEDS[x].split()))]))).alias(f"_{x}") for x in LANGS])
+    t = t.select(by_seeds([F.col(f"_{x}") for x in LANGS]).alias("_lang"), F.explode("_w").alias("w"))
+    return t.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("_lang") == x, 1)).alias(x) for x in LANGS])
+
+
+def frequent(word_counts: DataFrame, most: int = 20_000, least: int = 4) -> list:
+    """The `most` most frequent words with their counts: a bounded list."""
+    return word_counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect()
+
+
+def dictionary(rows: list) -> Words:
+    """The log-odds per language, within -3 and 3, of the words of `frequent`."""
+    if not rows:
+        return {}
+    n = np.array([[r[x] for x in LANGS] for r in rows], float)
+    sizes = n.sum(axis=0)
+    # a language that the corpus lacks is out of the question
+    p = np.where(sizes > 0, (n + SMOOTH * sizes / max(1.0, sizes.sum())) / np.maximum(sizes, 1.0), 1e-12)
+    odds = np.clip(np.log(p / p.mean(axis=1, keepdims=True)), -3, 3)
+    return {r.w: tuple(map(float, o)) for r, o, any_ in zip(rows, odds, n.sum(axis=1) > 0, strict=True) if any_}
+
+
+def detect(text: str, words: Words, margin: float = 2.5) -> str | None:
     """The language of a text, or None if it says too little."""
-    score, n = np.zeros(len(LANGS)), 0
+    a = b = c = d = 0.0
+    n = 0
     for w in WORD.findall(text.lower()):
         v = words.get(w)
         if v is not None:
-            score += np.clip(v, -3, 3)
-            n += 1
-    order = np.argsort(-score)
-    return LANGS[order[0]] if n >= 2 and score[order[0]] - score[order[1]] >= margin else None
+            a, b, c, d, n = a + v[0], b + v[1], c + v[2], d + v[3], n + 1
+    if n < 2:
+        return None
+    score = (a, b, c, d)
+    best = max(range(4), key=score.__getitem__)
+    return LANGS[best] if all(score[best] - s >= margin for i, s in enumerate(score) if i != best) else None
 
 
 _DEMAND = re.compile(r"translat|tradu|übersetz|\bin\b|\bauf\b|\bins\b|\ben\b|\bal\b|\binto\b|respond|answer|antwort|répon|write|schreib|escrib|écri", re.I)
