@@ -71,3 +71,16 @@ def test_empty(spark):
     d = spark.createDataFrame([], "decision_id long, source string, episode_text string, source_text string")
     assert T.found(e, d).count() == 0
     assert T.report(e, d).agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_branches_are_counted_apart(spark):
+    """Each cut record is flagged for one reason, and the report's counts add up to it."""
+    rows = [(f"a{i}", f"The planner copies archive number {i} to the other shelf, then it sto"[:60], '{"source": "fixed"}') for i in range(40)]
+    rows += [(f"w{i}", f"The planner has moved {i * 7} boxes {'and one more ' * (i % 9)}to the shelf.", '{"source": "fixed"}') for i in range(300)]
+    rows += [("o", "It ends in a bracket (which nobody ever closed", '{"source": "free"}')]
+    e = spark.createDataFrame(rows, "id string, text string, metadata string")
+    d = spark.createDataFrame([], "decision_id long, source string, episode_text string, source_text string")
+    got = {r.row_id: r.by for r in T.judged(e, d).collect()}
+    assert all(got[f"a{i}"] == "limit" for i in range(40)) and got["o"] == "open" and got["w1"] is None
+    for r in T.report(e, d).collect():
+        assert r.cut_off == r.by_limit + r.by_source_text + r.by_open + r.by_ending

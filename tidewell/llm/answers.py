@@ -47,13 +47,14 @@ _WORD = re.compile(r"[^\W_]+")
 #: What a frame of zstandard takes besides the data.
 _FRAME = 9
 _PLAIN = {"level": 3, "write_content_size": False, "write_checksum": False}
+_BARE = zstandard.ZstdCompressor(**_PLAIN)
 
 
 def left_over(known: str, text: str) -> float:
     """Compressed size of the text with `known` as dictionary, over that without it."""
     t = text.encode()
     d = zstandard.ZstdCompressionDict(known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    bare = len(zstandard.ZstdCompressor(**_PLAIN).compress(t))
+    bare = len(_BARE.compress(t))
     return max(0, len(zstandard.ZstdCompressor(dict_data=d, **_PLAIN).compress(t)) - _FRAME) / max(1, bare - _FRAME)
 
 
@@ -179,7 +180,7 @@ def judged(messages: DataFrame, turns: DataFrame) -> DataFrame:
                     label = "copy"
                 else:
                     if isinstance(q, str):
-                        lq, la = languages.detect(_CODE.sub(" ", q), known), languages.detect(_CODE.sub(" ", a), known)
+                        lq, la = (languages.detect(_CODE.sub(" ", t) if any(c in t for c in ("`", "@", "//", "()")) else t, known) for t in (q, a))
                         if lq and la and lq != la and la not in languages.asked_for(q):
                             label = "language"
                     tail = endings.look(a, words)

@@ -6,11 +6,13 @@ together with the hazards of the neighbouring lengths. A Poisson test of each ha
 neighbours, with the false discovery rate controlled over all lengths (Benjamini and Hochberg),
 leaves the lengths at which a source truncates.
 
-A record is cut off if it ends without a stop (or with the mark of a cut) and
-- its length is significant for its source,
-- or the text it was made from goes on (see `evidence`), be it another record with the same text,
-- or a bracket, quote or code fence is left open,
-- or its tail is one after which sentences go on (terminal contexts, see endings).
+A record is cut off if it ends without a stop (or with the mark of a cut) and, in this order,
+- limit: its length is significant for its source;
+- and by a second operator for cuts away from any field limit, such as transfers that broke off:
+  source text: the text it was made from goes on (see `evidence`), be it another record's with the
+  same text; open: a bracket, quote or code fence is left open; ending: its tail is one after which
+  sentences go on (terminal contexts, see endings).
+`by` says which of these a record was flagged for; `report` counts them apart.
 
 A whole text without a final stop ends where sentences end, so none of the four holds; one that
 trails off on purpose ("and so on…") ends where others trail off. Null and empty texts are whole.
@@ -31,6 +33,8 @@ from . import endings
 #: Lengths on either side that count as neighbours.
 NEAR = 12
 FDR = 0.001
+#: What a record is flagged for, the first that holds.
+BY = ("limit", "source text", "open", "ending")
 
 
 def records(episodes: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -74,7 +78,8 @@ def limits(lengths: DataFrame, near: int = NEAR, fdr: float = FDR) -> DataFrame:
 
 
 def judged(episodes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One row per table_name and row_id: source, truncated, at_limit (its length is significant), ended."""
+    """One row per table_name and row_id: source, truncated, by (the first of limit, source text, open and
+    ending that holds; null for a whole text), at_limit (its length is significant), ended."""
     r = records(episodes, decisions).withColumn("_bare", F.regexp_replace("text", MARK, ""))
     words = endings.vocabulary(r.select("text"))
     proof = evidence("_bare", "made_from")
@@ -94,11 +99,13 @@ def judged(episodes: DataFrame, decisions: DataFrame) -> DataFrame:
     proven = t.filter("proof").select("same").distinct().withColumn("proven", F.lit(True))
     t = skew.lookup(t, proven, "same")
     t = endings.end_chance(t, counts)
-    truncated = F.coalesce("proven", F.lit(False)) & ~F.col("ended") | ~F.col("ended") & (F.col("at_limit") | F.col("open") | (F.col("chance") < endings.UNFINISHED))
+    by = F.when(F.col("at_limit"), 0).when(F.coalesce("proven", F.lit(False)), 1).when(F.col("open"), 2).when(F.col("chance") < endings.UNFINISHED, 3)
+    t = t.withColumn("_by", F.when(~F.col("ended"), by))
     return (
-        t.withColumn("truncated", truncated)
+        t.withColumn("truncated", F.col("_by").isNotNull())
         .groupBy("table_name", "row_id")
-        .agg(F.min("source").alias("source"), F.max("truncated").alias("truncated"), F.max("at_limit").alias("at_limit"), F.min("ended").alias("ended"), F.min("chance").alias("chance"), F.max("chars").alias("chars"))
+        .agg(F.min("source").alias("source"), F.max("truncated").alias("truncated"), F.min("_by").alias("_by"), F.max("at_limit").alias("at_limit"), F.min("ended").alias("ended"), F.min("chance").alias("chance"), F.max("chars").alias("chars"))
+        .withColumn("by", F.coalesce(*[F.when(F.col("_by") == i, x) for i, x in enumerate(BY)])).drop("_by")
     )
 
 
@@ -108,5 +115,7 @@ def found(episodes: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def report(episodes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Records, records cut off and their share per table and source."""
-    return judged(episodes, decisions).groupBy("table_name", "source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("truncated").cast("int")).alias("cut_off"), F.avg(F.col("truncated").cast("double")).alias("share"))
+    """Records, records cut off, their share, and how many were flagged for what, per table and source."""
+    return judged(episodes, decisions).groupBy("table_name", "source").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.col("truncated").cast("int")).alias("cut_off"), F.avg(F.col("truncated").cast("double")).alias("share"), *[F.count(F.when(F.col("by") == x, 1)).alias(f"by_{x.replace(' ', '_')}") for x in BY]
+    )
