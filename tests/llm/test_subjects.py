@@ -54,18 +54,41 @@ def test_held_out(spark):
 
 
 def test_leaf_casts_the_vote():
-    """The nearest leaf's mixture votes, also against the sentence's own terms; these decide in a mixed leaf."""
-    lift = np.array([[3.0, -1, -1], [0.5, 2.5, -1], [-1, -1, 3]])
-    centroids = np.eye(3, dtype=np.float32)
+    """The nearest leaf's mixture is the vote, also against the sentence's own terms."""
+    lift = np.array([[3.0, -1, -1], [0.5, 2.5, -1], [-1, -1, 3], [0.1, 0.2, 0.1]])
+    centroids = np.eye(3, 4, dtype=np.float32)
     mixtures = np.array([[0.95, 0.05, 0], [0.08, 0, 0.92], [0.5, 0.5, 0]], np.float32)
-    m = S.Model(["a", "b", "c"], {"x": 0, "y": 1, "z": 2}, lift, np.ones(3), centroids, mixtures, 1.8, 1.2)
+    m = S.Model(["a", "b", "c"], {"x": 0, "y": 1, "z": 2, "w": 3}, lift, np.ones(4), centroids, mixtures, 1.8)
     assert [(i, round(p, 2)) for i, p in m.vote((0,))] == [(0, 0.95), (1, 0.05)]
     assert [(i, round(p, 2)) for i, p in m.vote((1,))] == [(0, 0.08), (2, 0.92)]
-    assert m.vote((2,)) == ((2, 1.0),) and m.vote(()) == ()
+    assert [(i, round(p, 2)) for i, p in m.vote((2,))] == [(0, 0.5), (1, 0.5)] and m.vote(()) == () and m.vote((3,)) == ()
     votes, of = m.shares("One y here. One y there. Only a w here.", {})
     assert of == 2 and round(votes[2], 2) == 1.84
 
 
+def test_the_leaves_decide():
+    """One leaf tells no subjects apart; enough leaves do, on documents not fitted on."""
+    r = random.Random(4)
+    made = [(s, _doc(r, s)) for s in (r.sample(sorted(WORDS), 1) for _ in range(300))]
+    fit = [(t, i, s) for i, (s, t) in enumerate(made[:150])]
+
+    def right(leaves):
+        m = S.fit(fit, sorted(WORDS), leaves=leaves)
+        n = 0
+        for s, t in made[150:]:
+            votes, of = m.shares(t, {})
+            n += {m.subjects[i] for i, k in votes.items() if k >= S.SHARE * of} == set(s)
+        return n / 150
+
+    assert right(1) <= 0.05 and right(2) <= 0.75 and right(800) >= 0.95
+
+
+def test_sample_is_bounded(spark):
+    d = spark.createDataFrame([(i, i, "x" * 100) for i in range(50)], "doc_id long, page_id long, text string")
+    lab = spark.createDataFrame([(i, "law") for i in range(50)], "doc_id long, subject string")
+    assert len(S.labelled_sample(d, lab, most=20)) == 20 and len(S.labelled_sample(d, lab, most_bytes=1_050)) == 10
+
+
 def test_rows_as_dense():
     r = np.random.default_rng(3)
     x = r.random((40, 9)) * (r.random((40, 9)) < 0.3)

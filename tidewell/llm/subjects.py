@@ -1,8 +1,8 @@
 """Subject areas of documents.
 
 The units are the sentences of a page's own prose, since a document's subjects are defined by the
-shares of its sentences. Fitting runs on a bounded sample of labelled documents (`max_labelled`,
-the ones with the smallest hash of their id):
+shares of its sentences. Fitting runs on a bounded sample of labelled documents (MAX_LABELLED
+documents and MAX_BYTES of text, those with the smallest hash of their id):
 
 1. Terms: an EM over the sentences, each restricted to the labels of its document (a label may be
    wrong: others keep a small weight), gives P(subject | term) and with it how discriminative a
@@ -13,10 +13,10 @@ the ones with the smallest hash of their id):
    centroid's terms.
 
 Then every document, labelled or not, is scanned once: a sentence goes to the leaf of the nearest
-centroid, whose mixture votes: one vote, split over the leaf's subjects. Where the leaf is mixed
-(no subject has `pure` of it), the sentence's own terms decide instead. A sentence without
-discriminative terms, or whose terms speak for no subject, has none. A document has the subjects
-with at least `share` of its votes (no subject lies between .15 and .3, so .225 is used).
+centroid, and that leaf's mixture is its vote, one vote split over subjects. Whether it votes at all
+is decided by its terms: a sentence without discriminative terms, or with too weak ones, has no
+subject. A document has the subjects with at least `share` of its votes (no subject lies between
+.15 and .3, so .225 is used).
 
 Null text, redirects, pages outside namespace 0 (a null namespace counts as 0) and texts without
 prose have no rows; a null doc_id is left out; repeated rows of one doc_id give equal rows, made
@@ -32,11 +32,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import spread
 from . import wiki
 
-MAX_LABELLED = 20_000
+#: Bounds of the labelled sample that is fitted on: documents, and bytes of their texts together.
+MAX_LABELLED, MAX_BYTES = 20_000, 256_000_000
 SHARE = 0.225
 
 
@@ -47,9 +49,9 @@ def _terms(sentence: str, memo: dict[str, int]) -> tuple[int, ...]:
 class Model:
     """Fitted terms, leaves and mixtures. All state is small: terms x subjects and leaves x terms."""
 
-    def __init__(self, subjects: list[str], vocabulary: dict[str, int], lift: np.ndarray, weight: np.ndarray, centroids: np.ndarray, mixtures: np.ndarray, clear: float, margin: float, pure: float = 0.9) -> None:
+    def __init__(self, subjects: list[str], vocabulary: dict[str, int], lift: np.ndarray, weight: np.ndarray, centroids: np.ndarray, mixtures: np.ndarray, clear: float) -> None:
         self.subjects, self.vocabulary, self.lift, self.weight = subjects, vocabulary, lift, weight
-        self.centroids, self.mixtures, self.clear, self.margin, self.pure = centroids, mixtures, clear, margin, pure
+        self.centroids, self.mixtures, self.clear = np.ascontiguousarray(centroids.T), mixtures, clear
         self._memo: dict[tuple[int, ...], tuple[tuple[int, float], ...]] = {}
 
     def vote(self, terms: tuple[int, ...]) -> tuple[tuple[int, float], ...]:
@@ -65,16 +67,10 @@ class Model:
         if not terms:
             return ()
         t = list(terms)
-        own = self.lift[t].sum(axis=0)
-        order = np.argsort(-own)
-        if own[order[0]] < self.clear:
+        if self.lift[t].sum(axis=0).max() < self.clear:
             return ()
-        mixed = self.mixtures[int(np.argmax(self.centroids[:, t] @ self.weight[t]))].astype(float)
-        if mixed.max() >= self.pure:
-            return tuple((int(i), float(mixed[i] / mixed.sum())) for i in np.flatnonzero(mixed > 0))
-        if own[order[0]] - own[order[1]] < self.margin:
-            return ()
-        return ((int(order[0]), 1.0),)
+        mixed = self.mixtures[int(np.argmax(self.weight[t] @ self.centroids[t]))]
+        return tuple((int(i), float(mixed[i])) for i in np.flatnonzero(mixed > 0))
 
     def shares(self, text: str, memo: dict[str, tuple[tuple[int, float], ...]]) -> tuple[Counter, int]:
         """Votes by subject number, and the number of sentences that voted."""
@@ -94,7 +90,7 @@ class Model:
     def leaf_terms(self, n: int = 8) -> list[list[str]]:
         """The most discriminative terms of each leaf."""
         words = sorted(self.vocabulary, key=self.vocabulary.get)
-        return [[words[i] for i in np.argsort(-c)[:n] if c[i] > 0] for c in self.centroids * self.weight]
+        return [[words[i] for i in np.argsort(-c)[:n] if c[i] > 0] for c in self.centroids.T * self.weight]
 
 
 class Rows:
@@ -167,7 +163,7 @@ def bisecting_kmeans(x: np.ndarray | Rows, n: np.ndarray, leaves: int, scatter:
     return leaf
 
 
-def fit(rows: list[tuple[str, int, list[str]]], subjects: list[str], leaves: int = 192, scatter: float = 0.05, least_pages: int = 3, smooth: float = 2.0, wrong: float = 0.02, clear: float = 1.8, margin: float = 1.2, rounds: int = 12) -> Model:
+def fit(rows: list[tuple[str, int, list[str]]], subjects: list[str], leaves: int = 800, scatter: float = 0.05, least_pages: int = 3, smooth: float = 2.0, wrong: float = 0.02, clear: float = 1.8, rounds: int = 12) -> Model:
     """rows: (text, page_id, labels) of labelled documents. The leaves are made from all sets of
     discriminative terms in this sample."""
     number = {s: i for i, s in enumerate(subjects)}
@@ -188,7 +184,7 @@ def fit(rows: list[tuple[str, int, list[str]]], subjects: list[str], leaves: int
     merged = Counter((tuple(sorted(vocabulary[w] for w in words if w in vocabulary)), known) for _, words, known in units)
     merged = {k: n for k, n in merged.items() if k[0]}
     if not merged:
-        return Model(subjects, {}, np.zeros((0, n_subjects)), np.zeros(0), np.zeros((1, 0)), np.zeros((1, n_subjects)), clear, margin)
+        return Model(subjects, {}, np.zeros((0, n_subjects)), np.zeros(0), np.zeros((1, 0)), np.zeros((1, n_subjects)), clear)
     times = np.array(list(merged.values()), float)
     own = np.repeat(np.arange(len(merged)), [len(t) for t, _ in merged])
     term = np.concatenate([np.array(t) for t, _ in merged])
@@ -230,14 +226,18 @@ def fit(rows: list[tuple[str, int, list[str]]], subjects: list[str], leaves: int
     mixtures = centroids @ (p[kept] * weight[kept, None]).astype(np.float32)
     mixtures /= np.maximum(mixtures.sum(axis=1, keepdims=True), 1e-12)
     words = sorted(vocabulary, key=vocabulary.get)
-    return Model(subjects, {words[j]: i for i, j in enumerate(kept)}, lift[kept].astype(np.float32), weight[kept].astype(np.float32), centroids, mixtures, clear, margin)
+    return Model(subjects, {words[j]: i for i, j in enumerate(kept)}, lift[kept].astype(np.float32), weight[kept].astype(np.float32), centroids, mixtures, clear)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, int, list[str]]]:
-    """(text, page_id, labels) of at most `most` labelled documents, those with the smallest hash of doc_id."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_bytes: int = MAX_BYTES) -> list[tuple[str, int, list[str]]]:
+    """(text, page_id, labels) of labelled documents in the order of the hash of doc_id: at most `most`,
+    and only as long as their texts together have at most `most_bytes`."""
     per_doc = labels.filter("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_set("subject")).alias("_labels"))
     few = per_doc.orderBy(F.xxhash64("_d"), "_d").limit(most)
-    got = documents.select("doc_id", "page_id", "text").filter("text IS NOT NULL").join(F.broadcast(few), F.col("doc_id") == F.col("_d")).select("doc_id", "page_id", "text", "_labels").toPandas()
+    got = documents.select("doc_id", "page_id", "text").filter("text IS NOT NULL").join(F.broadcast(few), F.col("doc_id") == F.col("_d"))
+    # one task sorts the sample, `most` documents; what leaves it has a bound in bytes
+    until = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    got = got.withColumn("_sum", F.sum(F.octet_length("text")).over(until)).filter(F.col("_sum") <= most_bytes).select("doc_id", "page_id", "text", "_labels").toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     return [(text, page, list(known)) for text, page, known in zip(got["text"], got["page_id"], got["_labels"], strict=True)]
 
