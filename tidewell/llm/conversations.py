@@ -12,7 +12,8 @@ session are numbered in blocks of time (skew.with_blocks), so a session that hol
 rows is not one task either.
 
 Null or unknown roles, null contents, null times and null metadata are all allowed: a null time
-sorts first, a null session_id is a session of its own, null content is blank. An empty table
+sorts first, null content is blank. Rows without a session_id cannot be told apart by session: they
+are reported and left out as one session with the reason `no session`. An empty table
 gives no rows. Columns beyond those named are ignored.
 """
 
@@ -111,7 +112,8 @@ def session_verdicts(messages: DataFrame) -> DataFrame:
         F.max("number").alias("high"),
     )
     why = (
-        F.when(~F.col("any_said"), "empty")
+        F.when(F.col("session_id").isNull(), "no session")
+        .when(~F.col("any_said"), "empty")
         .when(F.coalesce("stranger", F.lit(False)), "unknown speaker")
         .when(F.coalesce("blank_reply", F.lit(False)), "blank reply")
         .when(F.col("first.speaker") != "user", "no opening")
@@ -152,7 +154,7 @@ def conversations(messages: DataFrame, quantile: float = 0.99, factor: float = 4
     rows (merged) and content. Successive rows of one speaker within a segment are one turn,
     joined by a line break; blank rows and system and tool rows are no turns. segment counts the
     gaps above the calibrated threshold; all segments of a session stay one conversation."""
-    keep = session_verdicts(messages).filter("reason IS NULL").select("session_id").filter("session_id IS NOT NULL")
+    keep = session_verdicts(messages).filter("reason IS NULL AND session_id IS NOT NULL").select("session_id")
     # the verdict of a session is one row; the rows of a hot session meet it spread over tasks
     r = once(messages).filter("said AND speaker IN ('user', 'assistant')")
     r = skew.lookup(r, keep.withColumn("_keep", F.lit(True)), "session_id", "inner").drop("_keep")

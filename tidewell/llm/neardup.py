@@ -170,7 +170,7 @@ def similar_pairs(records: DataFrame, threshold: float = 0.8, **how) -> DataFram
 
 
 def groups(records: DataFrame, threshold: float = 0.8, rounds: int = 40, **how) -> DataFrame:
-    """One row per id: group_id (the smallest class of its connected component), copies (records
+    """One row per id: group_id (the smallest id of its connected component), copies (records
     with the same bag, itself included) and links (similar classes). Components are found by
     alternating minimum label and pointer jumping, each round written to the shared folder."""
     members, links = classes_and_links(records, threshold, **how)
@@ -196,4 +196,6 @@ def groups(records: DataFrame, threshold: float = 0.8, rounds: int = 40, **how)
     degree = both(links).groupBy("x").agg(F.count(F.lit(1)).alias("links"))
     copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
     per_class = label.join(degree, "x", "left").join(copies, label.x == copies.cls).select(F.col("x").alias("cls"), F.col("label").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return skew.lookup(members, per_class, "cls", "inner").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("copies").alias("copies"), F.max("links").alias("links"))
+    one = skew.lookup(members, per_class, "cls", "inner").groupBy("id").agg(F.min("group_id").alias("_g"), F.max("copies").alias("copies"), F.max("links").alias("links"))
+    one = cut(one, "grouped")
+    return skew.lookup(one, one.groupBy("_g").agg(F.min("id").alias("group_id")), "_g", "inner").select("id", "group_id", "copies", "links")
