@@ -50,14 +50,17 @@ def ingest(stream: DataFrame, episodes: str, checkpoint: str, threshold: float =
 
 def every(stream: DataFrame, n: int, act: Callable[[int], None], checkpoint: str) -> StreamingQuery:
     """Calls act(total) each time the number of rows passes a multiple of n. Only a count per
-    micro-batch reaches the driver."""
-    total = [0]
+    micro-batch reaches the driver; it is written beside the checkpoint, one row a batch, so a
+    stream that is started again goes on from there and a batch run again counts once."""
+    spark = stream.sparkSession
+    counts = f"{checkpoint}/counts"
 
     def each(batch: DataFrame, number: int) -> None:
-        del number
-        before, total[0] = total[0], total[0] + batch.count()
-        if before // n != total[0] // n:
-            act(total[0])
+        own = batch.count()
+        spark.createDataFrame([(number, own)], "number bigint, rows bigint").coalesce(1).write.mode("overwrite").parquet(f"{counts}/part={number}")
+        before = spark.read.schema("number bigint, rows bigint, part bigint").parquet(counts).filter(F.col("number") < number).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        if before // n != (before + own) // n:
+            act(before + own)
 
     return available_now(stream, each, checkpoint)
 
