@@ -128,7 +128,7 @@ def test_windows_stream(spark, data, tmp_path):
 
 
 def test_net_learns():
-    net = neural.Net()
+    net = neural.Net(neural.Settings(keys=16, values=8, hidden=16))
     r = np.random.default_rng(0)
     k, v = r.normal(size=16) / 4, r.normal(size=8) / 4
     s = [net.step(k, v) for _ in range(300)]

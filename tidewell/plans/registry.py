@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import analytics, kernels, knowledge, memory, more, references, scans, streams
+from . import analytics, kernels, knowledge, memory, more, references, scans, semantics, streams
 
-MODULES = [references, kernels, memory, analytics, knowledge, scans, streams, more]
+MODULES = [references, kernels, memory, analytics, knowledge, scans, streams, more, semantics]
 FLAGSHIP = "w2_context_window"
 
 

@@ -35,6 +35,16 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("id").agg(F.max_by(F.struct("content", "confidence", "source", "user_id", F.col("timestamp").alias("ts")), "timestamp").alias("r")).select("id", "r.*")
 
 
+def preferences(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that name their source, read as preferences of that category."""
+    return facts(spark, d).filter("source IS NOT NULL").select(F.concat(F.lit("pref_"), "id").alias("id"), F.col("source").alias("category"), F.col("content").alias("value"), F.col("confidence").alias("strength"), "user_id", "ts")
+
+
+def notes(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
+    """Important episodes, read as semantic events."""
+    return episodes(spark, d).filter(F.col("importance") >= least).select(F.concat(F.lit("evt_"), "id").alias("id"), F.col("text").alias("summary"), F.lit("").alias("detail"), "importance", "ts")
+
+
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """A run log made from events: strategy, status, failure, duration, user."""
     e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
@@ -56,6 +66,10 @@ WITH working AS (
   SELECT id, text, project_id, session_id, metadata_json, content_hash, "timestamp" AS ts FROM cold_memories
 ), fcts AS (
   SELECT id, content, confidence, source, user_id, "timestamp" AS ts FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "timestamp" DESC) AS rn FROM facts) WHERE rn = 1
+), prefs AS (
+  SELECT 'pref_' || id AS id, source AS category, content AS value, confidence AS strength, user_id, ts FROM fcts WHERE source IS NOT NULL
+), notes AS (
+  SELECT 'evt_' || id AS id, text AS summary, '' AS detail, importance, ts FROM eps WHERE importance >= 0.8
 ), runs AS (
   SELECT event_id AS run_id, user_id AS task, event_type AS strategy, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS status,
     CASE WHEN event_type = 'error' THEN 'k' || json_extract_string(props, '$.k') END AS failure_mode, value AS duration, json_extract_string(props, '$.k')::BIGINT AS candidates, epoch_us(ts) / 1e6 AS ts FROM events
