@@ -6,17 +6,21 @@ sentences; an empty table gives no rows; ties go by term or id.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-#: The statement families of a turn: name, pattern, most words, confidence.
+#: The statement families of a turn: name, pattern, most words, confidence. Word characters are those of any script.
 STATEMENTS = [
     ("IMPLEMENTED", r"\b(?:we\s+)?(?:implemented|added|built|created|wrote)\s+(.+?)(?:\.|$)", 15, 0.70),
     ("FIXED", r"\b(?:we\s+)?(?:fixed|resolved|patched|corrected)\s+(?:the\s+)?(.+?)(?:\.|$)", 15, 0.72),
+    ("DEPENDS_ON", r"(?:^|[^\p{L}\p{N}_])([\p{L}\p{N}_][\p{L}\p{N}_\s]{1,40}?)\s+(?:requires|depends on|needs)\s+([\p{L}\p{N}_][\p{L}\p{N}_\s]{1,40}?)(?:\.|$)", 8, 0.65),
     ("DECIDED", r"\b(?:we\s+)?decided\s+(?:to\s+)?(.+?)(?:\.|$)", 20, 0.68),
+    ("USES", r"\b(?:we\s+(?:use|are\s+using|switched\s+to)|switched\s+to)\s+([\p{L}\p{N}_][\p{L}\p{N}_\s\.\-]{1,60}?)(?:\s+for|\s+to|\.|$)", 8, 0.65),
     ("NEXT_STEP", r"\b(?:next\s+step|next\s+we|todo)\s+(?:is\s+)?(?:to\s+)?(.+?)(?:\.|$)", 20, 0.60),
 ]
 #: Words one of which must occur for a statement to be looked for, and the fewest words of the text.
@@ -25,8 +29,8 @@ LEAST_WORDS = 8
 #: Captures of one or two words after a verb of use, and of a place of work.
 TERM = r"([A-Za-z][A-Za-z0-9._-]*(?:\s+[A-Za-z][A-Za-z0-9._-]*)?)"
 USES = [r"\bi (?:use|am using|work with|rely on|depend on)\s+" + TERM, r"\bwe (?:use|are using|adopted|switched to)\s+" + TERM]
-PREFERS = [r"\bi (?:strongly |really |always )?(?:prefer|like|love|choose)\s+" + TERM, TERM + r"\s+is (?:my (?:preferred|favorite|go-to)|better|best)\b"]
-KNOWS = [r"\bi (?:work|worked) (?:at|for)\s+" + TERM, TERM + r"\s+is (?:a|an) (?:tool|framework|library|language|database|platform)\b"]
+PREFERS = [r"\bI (?:strongly |really |always )?(?:prefer|like|love|choose)\s+" + TERM, r"\b" + TERM + r"\s+is (?:my (?:preferred|favorite|go-to)|better|best)\b"]
+KNOWS = [r"\bI (?:work|worked) (?:at|for)\s+" + TERM, r"\b" + TERM + r"\s+is (?:a|an) (?:tool|framework|library|language|database|platform)\b"]
 #: A word that a capture may not end with, and captures that say nothing.
 TRAILING = ["over", "as", "on", "at", "in", "for", "with", "to", "of", "the", "a", "an", "and", "or", "but", "my", "our", "your", "via", "by", "from", "into", "onto", "than"]
 EMPTY = ["it", "this", "that", "them", "they", "one", "something", "anything", "everything", "nothing", "some", "any", "all", "both", "each", "many", "much", "more", "most", "other", "another", "such"]
@@ -40,18 +44,22 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def statements(docs: DataFrame) -> DataFrame:
-    """id, relation, subject, confidence: every statement of every family in texts that are long
-    enough and hold a trigger word; one row per id, relation and subject."""
+    """id, relation, subject, object (null but for DEPENDS_ON), confidence: every statement of every
+    family in texts that are long enough and hold a trigger word; one row per id, relation, subject and object."""
     low = F.lower(T.text("text"))
     live = docs.filter((T.words(F.col("text")) >= LEAST_WORDS) & low.rlike("|".join(TRIGGERS)))
 
     def family(name: str, pattern: str, most: int, confidence: float) -> Column:
-        got = F.regexp_extract_all(T.text("text"), F.lit("(?i)(?d)" + pattern), F.lit(1))
-        return F.transform(got, lambda v: F.struct(F.lit(name).alias("relation"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("v"), F.lit(most).alias("most"), F.lit(confidence).alias("confidence")))
+        strip = lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")
+        group = lambda i: F.regexp_extract_all(T.text("text"), F.lit("(?i)(?d)" + pattern), F.lit(i))
+        two = name == "DEPENDS_ON"
+        long, none = (80 if two else 120 if name == "USES" else 160), F.lit(None).cast("string")
+        made = lambda v, o: F.struct(F.lit(name).alias("relation"), strip(v).alias("v"), (strip(o) if two else none).alias("o"), F.lit(most).alias("most"), F.lit(long).alias("long"), F.lit(confidence).alias("confidence"))
+        return F.zip_with(group(1), group(2), made) if two else F.transform(group(1), lambda v: made(v, v))
 
     found = F.flatten(F.array(*[family(*s) for s in STATEMENTS]))
-    x = live.select("id", F.explode(found).alias("s")).filter((T.words(F.col("s.v")) <= F.col("s.most")) & (F.col("s.v") != ""))
-    return x.select("id", "s.relation", F.substring("s.v", 1, 160).alias("subject"), "s.confidence").distinct()
+    x = live.select("id", F.explode(found).alias("s")).filter((T.words(F.col("s.v")) <= F.col("s.most")) & (F.col("s.v") != "") & (F.col("s.o").isNull() | (F.col("s.o") != "") & (T.words(F.col("s.o")) <= F.col("s.most"))))
+    return x.select("id", "s.relation", F.substring(F.col("s.v"), F.lit(1), F.col("s.long")).alias("subject"), F.substring(F.col("s.o"), F.lit(1), F.col("s.long")).alias("object"), "s.confidence").distinct()
 
 
 def _capture(c: Column, patterns: list[str]) -> Column:
@@ -84,21 +92,22 @@ def relations(docs: DataFrame, preferences: DataFrame | None = None) -> DataFram
     return x.groupBy("subject", "relation", "object").agg(F.count(F.lit(1)).alias("mentions"), F.max("confidence").alias("confidence")).withColumn("object_id", T.digest(F.col("object"), 16))
 
 
-def sentence_terms(docs: DataFrame) -> DataFrame:
+def sentence_terms(docs: DataFrame, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """id, sent, term, tf: words of at least two letters without stop words, and pairs of neighbours
     among what is left."""
     s = sentences(docs)
-    w = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9_]{2,}"), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))
+    w = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9_]{2,}"), F.lit(0)), lambda x: ~x.isin(*stop))
     x = s.withColumn("w", w)
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     return x.select("id", "sent", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "sent", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(docs: DataFrame, least: float = 0.20, most_terms: int = 15, max_df: float = 0.85) -> DataFrame:
+def tfidf(docs: DataFrame, least: float = 0.20, most_terms: int = 15, max_df: float = 0.85, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """id, sent, term, score (9 decimals): per document its sentences are the corpus; idf is
     ln((1 + n) / (1 + df)) + 1, rows are of length 1, terms in more than max_df of the sentences are
-    left out (documents of one sentence keep theirs), and each sentence keeps its best terms."""
-    t = sentence_terms(docs)
+    left out (documents of one sentence keep theirs), and each sentence keeps its best terms. `stop` is
+    the list of stop words; a longer one is a parameter, not a table here."""
+    t = sentence_terms(docs, stop)
     n = sentences(docs).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     df = t.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df"))
     x = t.join(df, ["id", "term"]).join(n, "id").filter((F.col("df") <= max_df * F.col("n")) | (F.col("n") == 1))
@@ -130,11 +139,12 @@ def cooccurrences(terms: DataFrame, least: int = 1) -> DataFrame:
 
 
 def payloads(found: DataFrame) -> DataFrame:
-    """Statements as fact texts: "[RELATION] subject", one per relation and beginning of the subject,
-    the first by id. found: id, relation, subject, confidence."""
+    """Statements as fact texts: "[RELATION] subject → object", one per relation, beginning of the subject
+    and object, the first by id. found: id, relation, subject, object, confidence."""
     key = F.substring("subject", 1, 40).alias("_head")
-    first = found.groupBy("relation", key).agg(F.min_by(F.struct("id", "subject", "confidence"), F.struct("id", "subject")).alias("r"))
-    return first.select("r.id", "relation", F.substring(F.concat(F.lit("["), "relation", F.lit("] "), "r.subject"), 1, 320).alias("content"), "r.confidence")
+    first = found.groupBy("relation", key, "object").agg(F.min_by(F.struct("id", "subject", "confidence"), F.struct("id", "subject")).alias("r"))
+    text = F.concat(F.lit("["), "relation", F.lit("] "), "r.subject", F.coalesce(F.concat(F.lit(" → "), "object"), F.lit("")))
+    return first.select("r.id", "relation", F.substring(text, 1, 320).alias("content"), "r.confidence")
 
 
 def search_relations(rel: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:

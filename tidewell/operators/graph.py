@@ -75,3 +75,43 @@ def counts(nodes: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def without(nodes: DataFrame, edges: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n nodes that no edge reaches: an anti-join."""
+    return nodes.join(edges.select(key).distinct(), key, "left_anti").orderBy(key).limit(n)
+
+
+def through(edges: DataFrame, nodes: DataFrame, by: str, key: str, order: str, n: int) -> DataFrame:
+    """For each `by` the n latest nodes one hop away: edges(by, key), nodes(key, order)."""
+    x = edges.select(by, key).filter(F.col(by).isNotNull()).distinct().join(nodes, key)
+    w = Window.partitionBy(by).orderBy(F.desc(order), key)
+    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def similar_pairs(edges: DataFrame, least: float, a: str = "a", b: str = "b", score: str = "similarity") -> DataFrame:
+    """a < b of an edge table with at least the given similarity, each pair once with its best score."""
+    e = edges.filter((F.col(score) >= least) & (F.col(a) != F.col(b)))
+    return e.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.max(score).alias(score))
+
+
+def by_first_word(messages: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+    """query_id, message, frequency, rank: the most frequent messages that contain the first word of a
+    query. queries is a stated set, set against the distinct messages."""
+    first = F.element_at(F.split(F.trim("query"), r"\s+"), 1)
+    q = F.broadcast(queries.filter(F.trim("query") != "").select("query_id", first.alias("_w")))
+    m = messages.filter("message IS NOT NULL").groupBy("message").agg(F.count(F.lit(1)).alias("frequency"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("frequency"), "message")
+    return m.join(q, F.contains("message", F.col("_w"))).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", "message", "frequency", "rank")
+
+
+def upsert_nodes(nodes: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Nodes after a write: new rows replace old ones of the same key, the later by ts."""
+    cols = [c for c in nodes.columns if c != key]
+    u = nodes.unionByName(new.select(*nodes.columns))
+    return u.groupBy(key).agg(F.max(F.struct("ts", *[c for c in cols if c != "ts"])).alias("r")).select(key, *[F.col("r")[c].alias(c) for c in cols])
+
+
+def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges(src, dst, kind, weight) after a write: one row per src, dst and kind with the greatest weight."""
+    return edges.select("src", "dst", "kind", "weight").unionByName(new.select("src", "dst", "kind", "weight")).groupBy("src", "dst", "kind").agg(F.max("weight").alias("weight"))

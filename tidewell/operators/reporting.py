@@ -98,3 +98,30 @@ def classify_errors(c):
     """context, oom, transient or other, by substring in this order."""
     low = F.lower(F.coalesce(c, F.lit("")))
     return F.when(low.rlike("context length|maximum context|too many tokens"), "context").when(low.rlike("out of memory|oom"), "oom").when(low.rlike("timed out|timeout|connection|unreachable"), "transient").otherwise("other")
+
+
+def recall_by_kind(judged: DataFrame) -> DataFrame:
+    """Per kind the share of judgments that are right."""
+    return judged.groupBy("kind").agg(F.avg(F.col("found").cast("double")).alias("recall"), F.count(F.lit(1)).alias("n"))
+
+
+def index_to_first(curve: DataFrame, trial: str, value: str) -> DataFrame:
+    """The curve with `ratio` to its first trial (null unless that is above 0): the last ratio is the
+    index of what was kept. One row a trial."""
+    base = curve.filter(F.col(trial) == 0).select(F.col(value).alias("_b")).scalar()
+    return curve.withColumn("ratio", F.when(base > 0, F.col(value) / base))
+
+
+def fixtures(contexts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per fixture: recall (hits of its expected phrases), penalty (hits of forbidden ones), passed.
+    contexts: fixture, context; expected: fixture, expected, forbidden (arrays)."""
+    x = expected.join(contexts, "fixture", "left").withColumn("_c", F.lower(F.coalesce("context", F.lit(""))))
+    share = lambda c, none: F.when(F.size(c) == 0, F.lit(none)).otherwise(F.size(F.filter(c, lambda p: F.contains(F.col("_c"), F.lower(p)))) / F.size(c))
+    y = x.select("fixture", share("expected", 1.0).alias("recall"), share("forbidden", 0.0).alias("penalty"))
+    return y.withColumn("passed", (F.col("recall") >= 1.0) & (F.col("penalty") == 0.0))
+
+
+def fixture_summary(results: DataFrame) -> DataFrame:
+    """One row: fixtures, mean recall and penalty, share passed (3 decimals)."""
+    r = lambda c: F.round(F.avg(c), 3)
+    return results.agg(F.count(F.lit(1)).alias("fixtures"), r("recall").alias("recall"), r("penalty").alias("penalty"), r(F.col("passed").cast("double")).alias("pass_rate"))

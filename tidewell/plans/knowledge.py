@@ -53,14 +53,19 @@ _REL = (
     SELECT subject, relation, object, count(*) AS mentions, max(confidence)::DOUBLE AS confidence, substr(sha256(object), 1, 16) AS object_id FROM ro GROUP BY 1, 2, 3"""
 )
 #: Sentences appended by id, so that the statement families have something to find in these texts.
-TEMPLATES = ["We decided to use exponential backoff for the worker queue.", "We implemented the retry logic for the service today. We fixed the event loop bug in the worker.", "Next step is to profile the cache under load.", ""]
+TEMPLATES = ["We decided to use exponential backoff for the worker queue.", "We implemented the retry logic for the service today. We fixed the event loop bug in the worker.", "Next step is to profile the cache under load. We switched to poetry for builds.", "The worker depends on the queue. We are using redis."]
 _TPL_SQL = "CASE id % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TEMPLATES)) + " END"
+_TRIM = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+_NW = r"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> ''))"
 _STMT = (
     L.SQL
     + f", tpl AS (SELECT id, content || ' ' || {_TPL_SQL} AS content FROM working), live AS (SELECT id, content AS text FROM tpl WHERE len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) >= 8 AND regexp_matches(lower(content), '"
     + "" + "|".join(E.TRIGGERS) + "')), st AS ("
-    + " UNION ALL ".join(f"SELECT id, '{n}' AS relation, regexp_replace(unnest(regexp_extract_all(text, '(?i){p}', 1)), '^\\s+|\\s+$', '', 'g') AS v, {m} AS most, {c} AS confidence FROM live" for n, p, m, c in E.STATEMENTS)
-    + ") SELECT DISTINCT id, relation, substr(v, 1, 160) AS subject, confidence::DOUBLE AS confidence FROM st WHERE v <> '' AND len(list_filter(regexp_split_to_array(v, '\\s+'), lambda x: x <> '')) <= most"
+    + " UNION ALL ".join(
+        f"SELECT id, '{n}' AS relation, {_TRIM.format(c=f'unnest(regexp_extract_all(text, {chr(39)}(?i){p}{chr(39)}, 1))')} AS v, {_TRIM.format(c=f'unnest(regexp_extract_all(text, {chr(39)}(?i){p}{chr(39)}, 2))') if n == 'DEPENDS_ON' else 'NULL'} AS o, {m} AS most, {80 if n == 'DEPENDS_ON' else 120 if n == 'USES' else 160} AS long, {c} AS confidence FROM live"
+        for n, p, m, c in E.STATEMENTS
+    )
+    + f") SELECT DISTINCT id, relation, substr(v, 1, long) AS subject, substr(o, 1, long) AS object, confidence::DOUBLE AS confidence FROM st WHERE v <> '' AND {_NW.format(c='v')} <= most AND (o IS NULL OR o <> '' AND {_NW.format(c='o')} <= most)"
 )
 _COO = f", en AS (SELECT DISTINCT id, sent, {_ENT.format(c='term')} AS e FROM ti), co AS (SELECT x.e AS a, y.e AS b, count(*) AS count FROM en x JOIN en y ON x.id = y.id AND x.sent = y.sent AND x.e < y.e WHERE x.e <> '' AND y.e <> '' GROUP BY 1, 2)"
 

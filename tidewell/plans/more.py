@@ -161,7 +161,7 @@ QUERIES = {
     ),
     "x7_payloads": (
         lambda s, d: E.payloads(KNOWLEDGE["x6_statements"][0](s, d)),
-        f"SELECT id, relation, substr('[' || relation || '] ' || subject, 1, 320) AS content, confidence FROM (SELECT *, row_number() OVER (PARTITION BY relation, substr(subject, 1, 40) ORDER BY id, subject) AS rn FROM ({_STMT})) WHERE rn = 1",
+        f"SELECT id, relation, substr('[' || relation || '] ' || subject || coalesce(' → ' || object, ''), 1, 320) AS content, confidence FROM (SELECT *, row_number() OVER (PARTITION BY relation, substr(subject, 1, 40), object ORDER BY id, subject) AS rn FROM ({_STMT})) WHERE rn = 1",
     ),
     "x19_relation_search": (
         lambda s, d: E.search_relations(E.relations(_said(s, d)).filter("subject = 'root'"), s.createDataFrame([(0, "which editor: pycharm"), (1, "pytest and fastapi"), (2, "")], "query_id bigint, query string")).select("query_id", "relation", "object", F.round("score", 6).alias("score"), "rank"),

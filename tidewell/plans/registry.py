@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import analytics, kernels, knowledge, memory, more, references, scans, semantics, streams
+from . import analytics, kernels, knowledge, memory, more, references, scans, semantics, streams, writing
 
-MODULES = [references, kernels, memory, analytics, knowledge, scans, streams, more, semantics]
+MODULES = [references, kernels, memory, analytics, knowledge, scans, streams, more, semantics, writing]
 FLAGSHIP = "w2_context_window"
 
 
