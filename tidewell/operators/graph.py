@@ -23,7 +23,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     seen = front.withColumn("hop", F.lit(0))
     for h in range(1, hops + 1):
         step = front.join(edges, front.node == edges.src).select("seed", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        # each hop is written once, so that no plan holds the hops before it
+        front = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"), "hop")
         seen = seen.unionByName(front.withColumn("hop", F.lit(h)))
     return seen.filter("hop > 0")
 

@@ -72,13 +72,17 @@ def semantic_live(facts: DataFrame, queries: DataFrame, n: int = 8, per_type: in
 
 def contains_any(docs: DataFrame, queries: DataFrame, text: str, n: int) -> DataFrame:
     """Documents that contain any of a query's long words as a substring, scored by coverage and
-    density of the words; score 0 is dropped."""
-    q = queries.select("query_id", F.array_distinct(T.long_tokens(F.col("query"))).alias("q")).filter(F.size("q") > 0)
-    # a fixed set of stated queries against all rows, in one block: more than MAX_QUERY_TERMS is refused
-    if q.limit(MAX_QUERY_TERMS + 1).count() > MAX_QUERY_TERMS:
-        raise ValueError("too many queries for a substring search; ask in blocks")
-    x = docs.join(F.broadcast(q), F.exists("q", lambda w: F.contains(F.lower(T.text(text)), w)))
-    return top(x.withColumn("score", F.round(T.coverage_score(F.col("q"), T.long_tokens(F.col(text))), 9)).filter("score > 0").select("query_id", "id", "score"), n)
+    density of the words; score 0 is dropped. A word made of token characters occurs in a text only
+    within one of its tokens, so words are tested against the distinct tokens alone (a stated query
+    set against the vocabulary), and the tokens that hold one lead back to their documents by key."""
+    q = queries.select("query_id", F.array_distinct(T.long_tokens(F.col("query"))).alias("_qw")).filter(F.size("_qw") > 0)
+    tokens = docs.select("id", F.explode(F.array_distinct(T.raw_tokens(F.col(text)))).alias("_tok"))
+    words = q.select("query_id", F.explode("_qw").alias("_w"))
+    few = words.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS
+    held = tokens.select("_tok").distinct().join(F.broadcast(words) if few else words, F.contains("_tok", F.col("_w"))).select("query_id", "_tok").distinct()
+    hit = tokens.join(held, "_tok").select("query_id", "id").distinct()
+    x = hit.join(docs.select("id", F.col(text).alias("_text")), "id").join(q, "query_id")
+    return top(x.withColumn("score", F.round(T.coverage_score(F.col("_qw"), T.long_tokens(F.col("_text"))), 9)).filter("score > 0").select("query_id", "id", "score"), n)
 
 
 def by_overlap(docs: DataFrame, queries: DataFrame, text: str, n: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from . import skew
+from . import reporting, skew
 
 
 def access(log: DataFrame) -> DataFrame:
@@ -59,9 +59,9 @@ def distribution(score: DataFrame) -> DataFrame:
     """Rows, range, mean, upper median and rows below .3 and .5 of a score."""
     n = F.count("score")
     stats = score.agg(n.alias("count"), F.min("score").alias("min"), F.max("score").alias("max"), F.avg("score").alias("mean"), F.sum((F.col("score") < 0.3).cast("int")).alias("below_03"), F.sum((F.col("score") < 0.5).cast("int")).alias("below_05"))
-    # the upper median is the element at n // 2, found by a percentile on the discrete ranks, not by collecting
-    mid = score.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score DESC)").alias("upper_median"))
-    return stats.withColumn("upper_median", mid.scalar()).select("count", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), F.round("mean", 6).alias("mean"), "upper_median", "below_03", "below_05")
+    # the upper median is the element at n // 2
+    mid = reporting.order_statistics(score, "score", {"upper_median": F.floor(F.col("n") / 2)}).select("upper_median")
+    return stats.join(F.broadcast(mid), F.lit(True), "left").select("count", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), F.round("mean", 6).alias("mean"), "upper_median", "below_03", "below_05")
 
 
 def promotions(episodes: DataFrame, least: float = 0.8) -> DataFrame:

@@ -73,7 +73,7 @@ def hint(steps: Column, surprise: Column, mean: Column) -> Column:
     return (
         F.when((F.coalesce(steps, F.lit(0)) < LEAST_STEPS) | (F.coalesce(mean, F.lit(0.0)) <= 0), F.lit(""))
         .when(ratio < FAMILIAR, F.concat(F.lit("This interaction pattern is familiar (confidence: high, based on "), s, F.lit(" prior exchanges). Prioritize consistency with previous responses on this topic.")))
-        .when(ratio > NOVEL, F.concat(F.lit("This appears to be a novel topic or unusual framing (surprise: "), F.format_number(ratio, "0.0"), F.lit("x above average). No strong prior pattern detected; reason carefully.")))
+        .when(ratio > NOVEL, F.concat(F.lit("This appears to be a novel topic or unusual framing (surprise: "), F.format_string("%.1f", ratio), F.lit("x above average). No strong prior pattern detected; reason carefully.")))
         .otherwise(F.lit(""))
     )
 

@@ -55,23 +55,30 @@ def cached_vectors(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
 
 def similar_exists(new: DataFrame, old: DataFrame, least: float = 0.9) -> DataFrame:
     """new(id, content) with a row of another id in old(id, content) that is equal in tokens or whose
-    sets of tokens have a Jaccard similarity of at least `least`. Tokens are ordered from the rarest of
-    both tables; two sets this similar share one of the first ceil-bounded (1 - least) n + 1 of them,
-    so the equi-join on these prefixes loses none and never meets on a frequent token first."""
-    def tokens(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col("id").alias(key), F.explode(F.array_distinct(T.raw_tokens(F.col("content")))).alias("_t"))
-
-    n, o = tokens(new, "id"), tokens(old, "old_id")
-    freq = n.select("_t").unionByName(o.select("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
-
-    def prefix(t: DataFrame, key: str, name: str) -> DataFrame:
-        packed = skew.lookup(t, freq, "_t", "inner").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]).alias(name))
+    sets of tokens have a Jaccard similarity of at least `least`. Rows of equal sets are one class and
+    meet by its key; only classes are compared. Tokens are ordered from the rarest; two sets this
+    similar share one of the first ceil-bounded (1 - least) n + 1 of them, so the equi-join on these
+    prefixes loses none and never meets on a frequent token first."""
+    def sets(df: DataFrame) -> DataFrame:
+        t = df.filter("id IS NOT NULL").select("id", F.array_sort(F.array_distinct(T.raw_tokens(F.col("content")))).alias("_t")).filter(F.size("_t") > 0)
+        return t.select("id", F.sha2(F.array_join("_t", "\x00"), 256).alias("_c"), "_t")
+
+    n, o = sets(new), sets(old)
+    holders = o.groupBy("_c").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
+    other = (F.col("_lo") != F.col("id")) | (F.col("_hi") != F.col("id"))
+    same = n.select("id", "_c").join(holders, "_c").filter(other).select("id")
+    nc, oc = n.select("_c", "_t").dropDuplicates(["_c"]), o.select("_c", "_t").dropDuplicates(["_c"])
+    flat = lambda c: c.select("_c", F.explode("_t").alias("_w"))
+    freq = flat(nc).unionByName(flat(oc)).groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
+
+    def prefix(c: DataFrame, name: str, key: str) -> DataFrame:
+        packed = skew.lookup(flat(c), freq, "_w", "inner").groupBy("_c").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_w"))), lambda x: x["_w"]).alias(name))
         k = (F.size(name) - F.ceil(F.size(name) * F.lit(least)) + 1).cast("int")
-        return packed.withColumn("_p", F.explode(F.slice(name, F.lit(1), k)))
+        return packed.withColumnRenamed("_c", key).withColumn("_p", F.explode(F.slice(name, F.lit(1), k)))
 
-    a, b = prefix(n, "id", "_t"), prefix(o, "old_id", "_u")
-    near = a.join(b, "_p").filter(F.col("id") != F.col("old_id")).filter(T.jaccard(F.col("_t"), F.col("_u")) >= least)
-    return near.select("id").distinct()
+    near = prefix(nc, "_x", "_c").join(prefix(oc, "_y", "_d"), "_p").filter((F.col("_c") != F.col("_d")) & (F.size("_x") >= least * F.size("_y")) & (F.size("_y") >= least * F.size("_x"))).filter(T.jaccard(F.col("_x"), F.col("_y")) >= least)
+    pairs = near.select("_c", "_d").distinct().join(holders.withColumnRenamed("_c", "_d"), "_d")
+    return same.unionByName(n.select("id", "_c").join(pairs, "_c").filter(other).select("id")).distinct()
 
 
 def best_per_group(rows: DataFrame, group: str, score: str, key: str) -> DataFrame:
@@ -109,8 +116,8 @@ def without_memory(c: Column, summary: int | None = None) -> Column:
 
 
 def without_reasoning(c: Column) -> Column:
-    """What follows the last closing mark of a reasoning block, or the whole text."""
-    return F.regexp_replace(F.regexp_replace(T.text(c), r"(?s)^.*</think>", ""), r"^\s+|\s+$", "")
+    """What follows the first closing mark of a reasoning block, or the whole text (see prompts.answer for the whole rule)."""
+    return F.regexp_replace(F.regexp_replace(T.text(c), r"(?s)\A.*?</think>", ""), r"^\s+|\s+$", "")
 
 
 def json_in_text(c: Column) -> Column:

@@ -3,12 +3,32 @@ an empty table gives no groups; ties go by name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import skew
 
+#: Rows of a piece of a recursion.
+PIECE = 500
+
+
+def order_statistics(values: DataFrame, column: str, at: dict[str, Column], by: str | None = None) -> DataFrame:
+    """The values at given places (from 0, columns over `n`, the number of values) of the sorted
+    non-null values of a column, per `by` or over all: n and one column per place. Values are counted
+    first; the running count of the distinct ones, in blocks, tells which holds a place: no task
+    sorts all rows."""
+    keys = [by] if by else ["_all"]
+    v = values.filter(F.col(column).isNotNull()).withColumn("_all", F.lit(1))
+    g = v.groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # counted on the rows, of which there are at least as many as distinct values
+    r = skew.running(skew.with_blocks(g, keys, "_v", of=v.withColumn("_v", F.col(column))), keys, ["_v"], {"_upto": F.col("_c")})
+    j = r.join(F.broadcast(n), keys) if not by else skew.lookup(r, n, by, "inner")
+    out = j.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("_upto") > place, F.col("_v"))).alias(name) for name, place in at.items()])
+    return out.drop("_all")
+
+
 
 def strategies(runs: DataFrame, latest: int | None = None) -> DataFrame:
     """Per strategy: runs, failures, successes, mean duration and candidates over all runs (a null counts as 0)."""
@@ -34,8 +54,15 @@ def kinds(events: DataFrame) -> DataFrame:
 
 def calibration(values: DataFrame, column: str) -> DataFrame:
     """Mean, population deviation and the percentiles 50, 80, 90 and 95 (linear) of a column."""
-    p = lambda q: F.percentile(column, q)
-    return values.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), p(0.5).alias("p50"), p(0.8).alias("p80"), p(0.9).alias("p90"), p(0.95).alias("p95"))
+    at = {}
+    for q in (50, 80, 90, 95):
+        spot = (F.col("n") - 1) * (q / 100)
+        at[f"_a{q}"], at[f"_b{q}"] = F.floor(F.round(spot, 9)), F.ceil(F.round(spot, 9))
+    places = order_statistics(values, column, at)
+    share = lambda q: (F.col("n") - 1) * (q / 100) - F.floor(F.round((F.col("n") - 1) * (q / 100), 9))
+    lines = places.select("n", *[(F.col(f"_a{q}") + (F.col(f"_b{q}") - F.col(f"_a{q}")) * share(q)).alias(f"p{q}") for q in (50, 80, 90, 95)])
+    whole = values.agg(F.count(column).alias("_n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    return whole.join(F.broadcast(lines.drop("n")), F.lit(True), "left").select(F.col("_n").alias("n"), "mean", "std", "p50", "p80", "p90", "p95")
 
 
 def filter_stats(rows: DataFrame, column: str, threshold: float) -> DataFrame:
@@ -70,17 +97,23 @@ def ema(rows: DataFrame, keys: list[str], order: list[str], column: str, alpha:
 def adaptive(rows: DataFrame, key: str, order: list[str], column: str, start: float, deviations: float = 3.0, buffer: int = 100, warm: int = 10) -> DataFrame:
     """Storing by an adaptive threshold, per key in order: from the `warm`-th row on the threshold is
     .9 of itself and .1 of the mean of the last `buffer` values; a value is stored above it and at
-    most `deviations` population deviations above that mean. The recursion over a key is a fold over
-    its ordered values (one array per key: keys must be bounded, such as a project's run)."""
+    most `deviations` population deviations above that mean. The recursion is linear, so it is a sum
+    with weights that are powers of .9, taken in blocks of PIECE rows plus the value at the end of
+    the block before; what lies further back weighs less than 1e-22. No key is held as an array."""
     w = Window.partitionBy(key).orderBy(*order)
     near = w.rowsBetween(-(buffer - 1), 0)
-    t = rows.select(key, *order, F.col(column).alias("x"), F.row_number().over(w).alias("pos"), F.avg(column).over(near).alias("m"), F.stddev_pop(column).over(near).alias("sd"))
-    packed = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "m", "sd", *order))).alias("r"))
-    init = F.struct(F.lit(float(start)).alias("t"), F.array().cast("array<double>").alias("all"))
-    fold = F.aggregate("r", init, lambda s, r: F.struct(F.when(r["pos"] >= warm, 0.9 * s["t"] + 0.1 * r["m"]).otherwise(s["t"]).alias("t"), F.concat(s["all"], F.array(F.when(r["pos"] >= warm, 0.9 * s["t"] + 0.1 * r["m"]).otherwise(s["t"]))).alias("all")))
-    out = packed.select(key, F.explode(F.arrays_zip("r", fold["all"].alias("all"))).alias("z"))
-    store = (F.col("z.r.x") > F.col("z.all")) & (F.col("z.r.x") <= F.col("z.r.m") + deviations * F.col("z.r.sd"))
-    return out.select(key, *[F.col(f"z.r.{o}").alias(o) for o in order], F.col("z.all").alias("threshold"), store.alias("stored"))
+    t = rows.select(key, *order, F.col(column).alias("_x"), F.row_number().over(w).alias("_pos"), F.avg(column).over(near).alias("_m"), F.stddev_pop(column).over(near).alias("_sd"))
+    t = t.withColumn("_b", F.floor(F.col("_pos") / PIECE)).withColumn("_r", F.col("_pos") % PIECE)
+    fade = lambda n: F.pow(F.lit(0.9), n)
+    part = F.when(F.col("_pos") >= warm, F.col("_m") * fade(-F.col("_r"))).otherwise(F.lit(0.0))
+    inside = Window.partitionBy(key, "_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_l", 0.1 * fade(F.col("_r")) * F.sum(part).over(inside))
+    ends = t.filter(F.col("_r") == PIECE - 1).select(F.col(key).alias("_k"), (F.col("_b") + 1).alias("_kb"), F.col("_l").alias("_e"))
+    t = t.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")), "left")
+    late = F.greatest(F.lit(0), F.col("_pos") - (warm - 1))
+    threshold = F.col("_l") + fade(F.col("_r") + 1) * F.coalesce("_e", F.lit(0.0)) + fade(late) * start
+    x = t.withColumn("threshold", threshold)
+    return x.select(key, *order, "threshold", ((F.col("_x") > F.col("threshold")) & (F.col("_x") <= F.col("_m") + deviations * F.col("_sd"))).alias("stored"))
 
 
 def recall(judged: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import extraction as E
-from ..operators import lifecycle, records, retrieval, skew, vectors
+from ..operators import lifecycle, prompts, records, reporting, retrieval, vectors
 from ..sources import logical as L
 from ..sources.tables import table
 from .kernels import AS_OF, split, tok
@@ -53,10 +53,8 @@ def _fixtures(s, d):
 def _p95(s, d):
     """The element at index floor(.95 n) of each kind's sorted values, found by rank; groups keep no list."""
     r = L.runs(s, d).filter("duration IS NOT NULL")
-    w = Window.partitionBy("strategy").orderBy("duration", "run_id")
-    n = r.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean"))
-    x = skew.lookup(r.withColumn("i", F.row_number().over(w) - 1), n, "strategy", "inner")
-    return x.filter(F.col("i") == F.floor(0.95 * F.col("n"))).select("strategy", "n", F.round("mean", 6).alias("mean"), F.col("duration").alias("p95"))
+    mean = r.groupBy("strategy").agg(F.round(F.avg("duration"), 6).alias("mean"))
+    return reporting.order_statistics(r, "duration", {"p95": F.floor(0.95 * F.col("n"))}, "strategy").join(mean, "strategy").select("strategy", "n", "mean", "p95")
 
 
 def _mentions(s, d):
@@ -169,8 +167,8 @@ QUERIES = {
         sc AS (SELECT query_id, relation, object, round(least(1.0, 0.7 * len(list_intersect(q, t)) / len(q) + 0.3 * len(list_intersect(q, t)) / len(t)) * confidence, 9) AS score FROM qq JOIN rl ON len(list_intersect(q, t)) > 0), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object, relation)::INT AS rank FROM sc) SELECT query_id, relation, object, round(score, 6) AS score, rank FROM rr WHERE rank <= 8""",
     ),
     "x33_hint": (
-        lambda s, d: L.runs(s, d).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.max_by("duration", F.struct("ts", "run_id")).alias("last"), F.avg("duration").alias("mean")).select("task", F.when(F.col("n") < 50, "cold").when(F.col("last") / F.col("mean") < 0.7, "familiar").when(F.col("last") / F.col("mean") > 1.5, "novel").otherwise("neutral").alias("hint")),
-        L.SQL + "SELECT task, CASE WHEN count(*) < 50 THEN 'cold' WHEN arg_max(duration, (ts, run_id)) / avg(duration) < 0.7 THEN 'familiar' WHEN arg_max(duration, (ts, run_id)) / avg(duration) > 1.5 THEN 'novel' ELSE 'neutral' END AS hint FROM runs GROUP BY 1",
+        lambda s, d: L.runs(s, d).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.max_by("duration", F.struct("ts", "run_id")).alias("last"), F.avg("duration").alias("mean")).select("task", F.regexp_replace(prompts.hint(F.col("n"), F.col("last"), F.col("mean")), r"surprise: [0-9.]+x", "surprise").alias("hint")),
+        L.SQL + "SELECT task, CASE WHEN count(*) < 50 OR avg(duration) <= 0 THEN '' WHEN arg_max(duration, (ts, run_id)) / avg(duration) < 0.7 THEN 'This interaction pattern is familiar (confidence: high, based on ' || count(*) || ' prior exchanges). Prioritize consistency with previous responses on this topic.' WHEN arg_max(duration, (ts, run_id)) / avg(duration) > 1.5 THEN 'This appears to be a novel topic or unusual framing (surprise above average). No strong prior pattern detected; reason carefully.' ELSE '' END AS hint FROM runs GROUP BY 1",
     ),
     "f5_w8_write_once": (
         lambda s, d: records.best_per_group(L.facts(s, d).select(T.normal(F.col("content")).alias("norm"), F.lit(1.0).alias("one"), "id"), "norm", "one", "id").select("norm", "id"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import orphans as O
+from ..operators import prompts
 from ..operators import records as R
 from ..sources import logical as L
 from ..sources.tables import table
@@ -23,9 +24,10 @@ def _profile(s, d):
 
 
 def _fit(s, d):
-    e = L.episodes(s, d).filter("text IS NOT NULL")
-    part = lambda a, b: F.substring("text", a, b)
-    return e.select("id", R.fit_prompt(F.lit("hello there"), part(1, 400), part(401, 100), part(501, 600), part(101, 200), 220).alias("p")).select("id", *[F.length(F.col("p")[k]).alias(k) for k in ("cold", "episodic", "working", "semantic")])
+    """Every layer from whole columns of an episode, fitted into 200 tokens with 50 held back."""
+    t = lambda c: F.coalesce(c, F.lit(""))
+    e = L.episodes(s, d).select("id", prompts.fitted(F.col("text"), F.col("metadata"), F.concat(t("session_id"), F.lit(" "), t("project_id")), F.concat(t("text"), t("metadata")), F.concat(t("metadata"), t("text")), F.lit("hint"), 200, 50).alias("p"))
+    return e.select("id", *[F.length(f"p.{x}").alias(x) for x in ("user", "working", "semantic", "episodic", "cold", "neural")])
 
 
 QUERIES = {
@@ -126,9 +128,10 @@ QUERIES = {
     ),
     "x26_fit_prompt": (
         _fit,
-        L.SQL + """, p AS (SELECT id, substr(text, 1, 400) AS w, substr(text, 401, 100) AS s, substr(text, 501, 600) AS e, substr(text, 101, 200) AS c FROM eps WHERE text IS NOT NULL),
-        r AS (SELECT *, length(w) // 4 AS tw, length(e) // 4 AS te, length(c) // 4 AS tc, greatest(32, 220 - 2 - length(s) // 4) AS rest FROM p)
-        SELECT id, CASE WHEN tw + te + tc <= rest THEN length(c) ELSE 0 END::INT AS cold, CASE WHEN tw + te <= rest THEN length(e) WHEN tw < rest THEN least(length(e), 4 * (rest - tw) + 3) ELSE 0 END::INT AS episodic, CASE WHEN tw + te <= rest OR tw < rest THEN length(w) ELSE least(length(w), 4 * rest + 3) END::INT AS working, length(s)::INT AS semantic FROM r""",
+        L.SQL + """, p AS (SELECT id, coalesce(text, '') AS u, coalesce(metadata, '') AS w, coalesce(session_id, '') || ' ' || coalesce(project_id, '') AS s, coalesce(text, '') || coalesce(metadata, '') AS e, coalesce(metadata, '') || coalesce(text, '') AS c, 'hint' AS n FROM eps),
+        q AS (SELECT id, CASE WHEN length(u) // 4 > 150 THEN substr(u, 1, 603) ELSE u END AS u, w, s, e, c, n, length(w) // 4 AS tw, length(s) // 4 AS ts, length(e) // 4 AS te, length(c) // 4 AS tc, length(n) // 4 AS tn FROM p), r AS (SELECT *, greatest(32, 150 - length(u) // 4) AS x FROM q)
+        SELECT id, length(u)::INT AS user, CASE WHEN tw + ts < x OR tw + ts + te <= x THEN length(w) WHEN ts < x THEN least(length(w), 4 * (x - ts) + 3) ELSE 0 END::INT AS working, CASE WHEN ts <= x THEN length(s) ELSE least(length(s), 4 * x + 3) END::INT AS semantic,
+          CASE WHEN tw + ts + te <= x THEN length(e) WHEN tw + ts < x THEN least(length(e), 4 * (x - tw - ts) + 3) ELSE 0 END::INT AS episodic, CASE WHEN tw + ts + te + tc + tn <= x THEN length(c) ELSE 0 END::INT AS cold, CASE WHEN tw + ts + te + tn <= x THEN length(n) ELSE 0 END::INT AS neural FROM r""",
     ),
     "x27_without_memory": (
         lambda s, d: L.episodes(s, d).select("id", R.without_memory(_prompt()).alias("stripped"), R.without_memory(_prompt(), 80).alias("summarised")),
