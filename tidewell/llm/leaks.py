@@ -7,7 +7,7 @@ words is missed. Kept fingerprints of the documents are joined with those of the
 hit is extended word by word to its full run.
 
 The held-out side is small and fixed: its fingerprints are joined on the map side, in blocks of at
-most `block` items, each block one pass over the documents, so that what is sent to the tasks has
+most `block` items and about BLOCK_BYTES of text, each block one pass over the documents, so that what is sent to the tasks has
 a bound whatever its size. The documents are scanned once per block and never shuffled.
 
 Null or empty texts on either side leak nothing; items of fewer than `run` words cannot be held
@@ -30,6 +30,8 @@ from .dartminhash import mix
 from .wiki import WORD, visible_words
 
 RUN, K = 20, 10
+#: Bytes of held-out text that one pass takes along.
+BLOCK_BYTES = 64_000_000
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -83,7 +85,8 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, k: int = K, bl
     window = run - k + 1
     docs = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     its = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks = max(1, -(-its.count() // block))
+    many, size = its.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-many // block), -(-size // BLOCK_BYTES))
     parts = []
     for b in range(blocks):
         held_out = its.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()

@@ -22,11 +22,13 @@ An empty documents table gives an empty mix.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,9 +61,13 @@ def plain(c: Column) -> Column:
 def sized(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """documents(doc_id, source, text) -> doc_id, source (plain), tokens; one row per doc_id."""
 
+    # the vocabulary travels with the job: only the driver needs the file
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            e = _encoding(tokenizer, pattern)
+            e = _encoding(SparkFiles.get(name), pattern)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": np.array([len(e.encode_ordinary(t)) for t in pdf["text"]], np.int64)})
 
     rows = documents.select(F.col("doc_id").cast("bigint"), plain(F.col("source")).alias("source"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND source IS NOT NULL AND text <> ''")

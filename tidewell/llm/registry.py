@@ -61,6 +61,16 @@ WITH a AS (
   SELECT session_id, rows, CASE WHEN session_id IS NULL THEN 'no session' WHEN NOT any_said THEN 'empty' WHEN stranger THEN 'unknown speaker' WHEN blank_reply THEN 'blank reply' WHEN first <> 'user' THEN 'no opening' WHEN last <> 'assistant' THEN 'no reply' WHEN n > 0 AND (lo <> 0 OR hi - lo + 1 <> n) THEN 'rows missing' END AS reason FROM s
 )
 """
+_P1_TURNS = _P1.rstrip() + """, gp AS (
+  SELECT 4 * quantile_disc(g, 0.99) AS longest FROM (SELECT ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, id) AS g FROM b WHERE ts IS NOT NULL)
+), k AS (
+  SELECT b2.*, lag(sp) OVER w AS psp, lag(ts) OVER w AS pts FROM b2 JOIN v USING (session_id) WHERE reason IS NULL AND once AND said AND sp IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)
+), j AS (
+  SELECT *, coalesce(ts - pts > (SELECT longest FROM gp), false) AS gap FROM k
+), n AS (
+  SELECT *, sum(gap::INT) OVER w AS segment, sum((psp IS NULL OR psp <> sp OR gap)::INT) OVER w - 1 AS tn FROM j WINDOW w AS (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)
+) SELECT session_id, segment::BIGINT AS segment, tn::BIGINT AS turn, sp AS speaker, min(ts) AS seconds, count(*) AS rows, string_agg(content, chr(10) ORDER BY ts, id) AS content FROM n GROUP BY 1, 2, 3, 4
+"""
 _P4 = r"""
 WITH r AS (SELECT row_number() OVER () AS k, id, text FROM (SELECT id, text FROM episodes UNION SELECT id, text FROM cold_memories UNION SELECT id, content FROM facts) WHERE id IS NOT NULL AND text IS NOT NULL),
 c AS (SELECT k, id, w, count(*) AS c FROM (SELECT k, id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM r) GROUP BY ALL), n AS (SELECT k, sum(c) AS n FROM c GROUP BY 1),
@@ -84,7 +94,7 @@ FROM m JOIN (SELECT id, min(y) AS group_id FROM g GROUP BY 1) q ON q.id = m.id J
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "p1_found": (lambda s, d: conversations.found(_messages(s, d)), _P1 + "SELECT DISTINCT session_id FROM v WHERE reason IS NOT NULL"),
-    "p1_conversations": (lambda s, d: conversations.conversations(_messages(s, d)), None),
+    "p1_conversations": (lambda s, d: conversations.conversations(_messages(s, d)), _P1_TURNS),
     "p1_report": (lambda s, d: conversations.report(_messages(s, d)), _P1 + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS sessions, sum(rows)::BIGINT AS rows FROM v GROUP BY 1"),
     "p2_found": (lambda s, d: truncation.found(*_cut_tables(s, d)), None),
     "p2_report": (lambda s, d: truncation.report(*_cut_tables(s, d)), None),
