@@ -188,6 +188,18 @@ def is_open(text: str) -> bool:
     return line.count('"') % 2 == 1 and not line.rstrip().endswith('"')
 
 
+def _last_sentence(text: str, words: Words) -> list[int]:
+    """The abstract tokens of the last sentence: the last element of `_sentences`, without the others."""
+    t = text.rstrip(" \t\r\n\f\v.!?…")
+    start = max(t.rfind(c) for c in ".!?…\n") + 1
+    return [_number(x, words) for x in _TOKEN.findall(t[start:].lower())]
+
+
+def _signed(x: int) -> int:
+    """x as the 64-bit number that numpy makes of it."""
+    return (x + 2**63) % 2**64 - 2**63
+
+
 def look(text: str, words: Words) -> tuple[bool, bool, bool, list[int]]:
     """(ended by a stop, marked as cut, open, the four context keys of the tail)."""
     t = text.strip()
@@ -195,14 +207,14 @@ def look(text: str, words: Words) -> tuple[bool, bool, bool, list[int]]:
     marked = bare != t
     plain = _REMARK.sub("", bare)
     ended = not marked and bool(_STOP.search(t) or _STOP.search(plain) or len(t.split()) <= BRIEF) or not bare
-    got = _sentences(bare, words)
-    if not got:
+    s = _last_sentence(bare, words)
+    if not s:
         return ended, marked, False, [0, 0, 0, 0]
-    s, _ = got[-1]
     f = [_PAD, _PAD, _PAD, *s]
-    one = lambda v: np.array([v])
-    keys = _pack(one(s[0]), one(s[1] if len(s) > 1 else _PAD), one(f[-3]), one(f[-2]), one(f[-1]), one(f[-4]))
-    return ended, marked, is_open(bare), [int(k[0]) for k in keys]
+    two = f[-2] << 12 | f[-1]
+    three = f[-3] << 24 | two
+    anchored = s[0] << 48 | (s[1] if len(s) > 1 else _PAD) << 36 | three
+    return ended, marked, is_open(bare), [_signed(anchored * 4), _signed((f[-4] << 36 | three) * 4 + 1), three * 4 + 2, two * 4 + 3]
 
 
 def tails(texts: DataFrame, keys: list[str], words: Words) -> DataFrame:
