@@ -56,7 +56,7 @@ class Words(dict):
 
 def vocabulary(texts: DataFrame) -> Words:
     """texts(text) -> the numbers of the frequent words. A bounded aggregate over all texts."""
-    return chosen(languages.frequent(languages.counts(spread(texts)), VOCABULARY - _BASE), texts.filter("text IS NOT NULL").count())
+    return chosen(languages.frequent(languages.counts(spread(texts), False), VOCABULARY - _BASE), texts.filter("text IS NOT NULL").count())
 
 
 def chosen(rows: list, texts: int) -> Words:

@@ -45,9 +45,11 @@ def by_seeds(n: list[Column]) -> Column:
     return led
 
 
-def counts(texts: DataFrame) -> DataFrame:
+def counts(texts: DataFrame, by_language: bool = True) -> DataFrame:
     """texts(text) -> w, n (texts that have the word) and for each language the texts of it that do."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    if not by_language:
+        return texts.filter("text IS NOT NULL").select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     t = texts.filter("text IS NOT NULL").select(words.alias("_w"))
     t = t.select("_w", *[F.size(F.array_intersect("_w", F.array(*[F.lit(w) for w in sorted(set(SEEDS[x].split()))]))).alias(f"_{x}") for x in LANGS])
     t = t.select(by_seeds([F.col(f"_{x}") for x in LANGS]).alias("_lang"), F.explode("_w").alias("w"))
