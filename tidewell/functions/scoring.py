@@ -44,3 +44,15 @@ def retention(age: Column, importance: Column, hits: Column, most_hits: Column,
     """.35 recency + .30 importance + .25 use + .10 surprise; unused rows younger than a week count as used a little."""
     used = F.when(hits > 0, F.log1p(hits) / F.log1p(F.greatest(most_hits, F.lit(1)))).when(age < 7.0, F.lit(0.3)).otherwise(F.lit(0.0))
     return 0.35 * decay(age) + 0.30 * unit(importance) + 0.25 * used + 0.10 * unit(F.coalesce(surprise, F.lit(0.0)))
+
+
+def mean_logprob(c: Column) -> Column:
+    """The mean of an array of log-probabilities; 0 for an empty or null one."""
+    n = F.size(F.coalesce(c, F.array().cast("array<double>")))
+    return F.when(n > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / n).otherwise(F.lit(0.0))
+
+
+def perplexity(c: Column) -> Column:
+    """exp of minus the mean of an array of log-probabilities; 1 for an empty or null one."""
+    n = F.size(F.coalesce(c, F.array().cast("array<double>")))
+    return F.when(n > 0, F.exp(-mean_logprob(c))).otherwise(F.lit(1.0))

@@ -181,3 +181,15 @@ def context(terms: DataFrame, sents: DataFrame, when: DataFrame, seeds: DataFram
     order = Window.partitionBy("query_id").orderBy("v")
     kept = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     return kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "sentence"))).alias("p")).select("query_id", F.size("p").alias("sentences"), F.array_join(F.transform("p", lambda x: x["sentence"]), "\n---\n").alias("context"))
+
+
+def index(docs: DataFrame, preferences: DataFrame | None = None, **how) -> dict[str, DataFrame]:
+    """All that indexing documents(id, text) yields: sentences, mentions (id, sent, entity), entities,
+    edges (co-occurrences), relations, and stats per document."""
+    sents = sentences(docs)
+    terms = without_parts(tfidf(docs, **how))
+    entity = T.entity(F.col("term"))
+    mentions = terms.filter(T.is_entity(entity)).select("id", "sent", entity.alias("entity")).distinct()
+    per = mentions.groupBy("id").agg(F.count_distinct("entity").alias("entities"), F.count(F.lit(1)).alias("mentions"))
+    stats = sents.groupBy("id").agg(F.count(F.lit(1)).alias("sentences")).join(per, "id", "left").select("id", "sentences", F.coalesce("entities", F.lit(0)).alias("entities"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
+    return {"sentences": sents, "mentions": mentions, "entities": entities(terms), "edges": cooccurrences(terms), "relations": relations(docs, preferences), "stats": stats}

@@ -71,3 +71,9 @@ def promotions(episodes: DataFrame, least: float = 0.8) -> DataFrame:
     facts = e.filter(T.looks_like_fact(F.col("text"))).select("id", "ts", "digest", F.lit("fact").alias("kind"), T.summary(F.col("text"), 28).alias("summary"), F.least(F.lit(0.95), F.greatest(F.lit(0.55), F.col("importance"))).alias("weight"))
     u = events.unionByName(facts)
     return u.groupBy("digest", "kind").agg(F.min_by(F.struct("id", "summary", "weight"), F.struct("ts", "id")).alias("r")).select("digest", "kind", "r.*")
+
+
+def actions(episodes: DataFrame, as_of: float, promote: float = 0.8, old_days: float = 45.0, dull: float = 0.55) -> DataFrame:
+    """id, action: promote what is important, archive what is old and dull, keep the rest."""
+    x = episodes.select("id", S.age_days(as_of, F.col("ts")).alias("age"), F.coalesce("importance", F.lit(0.5)).alias("importance"))
+    return x.select("id", F.when(F.col("importance") >= promote, "promote").when((F.col("age") >= old_days) & (F.col("importance") <= dull), "archive").otherwise("keep").alias("action"))

@@ -158,3 +158,14 @@ def fixture_summary(results: DataFrame) -> DataFrame:
     """One row: fixtures, mean recall and penalty, share passed (3 decimals)."""
     r = lambda c: F.round(F.avg(c), 3)
     return results.agg(F.count(F.lit(1)).alias("fixtures"), r("recall").alias("recall"), r("penalty").alias("penalty"), r(F.col("passed").cast("double")).alias("pass_rate"))
+
+
+def clusters(rows: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    """Per key its rows and their first and last time."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+
+
+def trials(facts: DataFrame, most: int, kinds: list[str]) -> DataFrame:
+    """Every fact asked in every trial in every kind: bounded by two parameters per fact."""
+    x = facts.select("id", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("trial"))
+    return x.select("id", "trial", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))

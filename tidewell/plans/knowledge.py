@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as E
 from ..operators import graph as G
-from ..operators import lexical, retrieval
+from ..operators import lexical, reporting, retrieval
 from ..sources import logical as L
 from ..sources.tables import table
 from .kernels import AS_OF, longs, split
@@ -126,7 +126,7 @@ QUERIES = {
         "WITH e AS (SELECT event_id AS id, event_type, epoch_us(ts) / 1e6 AS t FROM events) SELECT x.event_type, x.id AS a, y.id AS b FROM e x JOIN e y ON x.event_type = y.event_type AND x.id < y.id AND abs(x.t - y.t) < 60",
     ),
     "g8_clusters": (
-        lambda s, d: _ev(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")),
+        lambda s, d: reporting.clusters(_ev(s, d), "user_id"),
         "SELECT user_id, count(*) AS n, min(epoch_us(ts) / 1e6) AS first_ts, max(epoch_us(ts) / 1e6) AS last_ts FROM events GROUP BY 1",
     ),
     "g9_l8_counts": (

@@ -138,13 +138,13 @@ QUERIES = {
         _SENT + "SELECT subject FROM subjects WHERE NOT EXISTS (SELECT 1 FROM sents WHERE list_contains(regexp_extract_all(lower(sentence), '[a-z0-9_]{2,}'), subject))",
     ),
     "j13_trials": (
-        lambda s, d: L.facts(s, d).select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("trial")).select("id", "trial", F.explode(F.array(F.lit("decoy"), F.lit("direct"), F.lit("paraphrase"))).alias("kind")),
+        lambda s, d: reporting.trials(L.facts(s, d), 6, ["decoy", "direct", "paraphrase"]),
         L.SQL + "SELECT id, unnest(range(0, 6))::INT AS trial, k AS kind FROM fcts, (VALUES ('decoy'), ('direct'), ('paraphrase')) AS v(k)",
     ),
     "v5_affinity": (_affinity, _AFF + " SELECT id, label, affinity FROM af"),
     "v6_consolidation": (lambda s, d: _affinity(s, d).filter("affinity >= 0.15").groupBy("label").agg(F.count(F.lit(1)).alias("hits")).filter("hits >= 2"), _AFF + " SELECT label, count(*) AS hits FROM af WHERE affinity >= 0.15 GROUP BY 1 HAVING count(*) >= 2"),
     "l4_maintenance": (
-        lambda s, d: L.episodes(s, d).select("id", S.age_days(AS_OF, F.col("ts")).alias("age"), F.coalesce("importance", F.lit(0.5)).alias("importance")).select("id", F.when(F.col("importance") >= 0.8, "promote").when((F.col("age") >= 45) & (F.col("importance") <= 0.55), "archive").otherwise("keep").alias("action")),
+        lambda s, d: lifecycle.actions(L.episodes(s, d), AS_OF),
         L.SQL + f"SELECT id, CASE WHEN coalesce(importance, 0.5) >= 0.8 THEN 'promote' WHEN greatest(0.0, ({AS_OF} - ts) / 86400.0) >= 45 AND coalesce(importance, 0.5) <= 0.55 THEN 'archive' ELSE 'keep' END AS action FROM eps",
     ),
     "l6_consolidated": (

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import extraction as E
 from ..operators import lexical, prompts, records, retrieval, semantic, working
 from ..sources import logical as L
-from .kernels import AS_OF, longs, split
-from .knowledge import _REL
+from ..sources.tables import table
+from .kernels import AS_OF, longs, split, tok
+from .knowledge import _ENT, _REL, _TERMS, _is_entity
 from .memory import QSQL, bm25_sql, queries_df
 
 _SYN = "s"
@@ -83,6 +85,11 @@ def _edges(s, d):
     return semantic.typed_edges(r, L.preferences(s, d), L.facts(s, d), r.select("object_id", "object"))
 
 
+def _asked(s, d):
+    """The questions of eval_items as a table of queries."""
+    return table(s, d, "eval_items", F.col("item_id").alias("query_id"), F.coalesce("question", F.lit("")).alias("query"))
+
+
 QUERIES = {
     "a7_newest_preferences": (lambda s, d: records.newest(L.preferences(s, d), 100).select("id", "category", "ts"), L.SQL + "SELECT id, category, ts FROM prefs ORDER BY ts DESC, id LIMIT 100"),
     "a7_newest_events": (lambda s, d: records.newest(L.notes(s, d), 100).select("id", "importance", "ts"), L.SQL + "SELECT id, importance, ts FROM notes ORDER BY ts DESC, id LIMIT 100"),
@@ -120,6 +127,27 @@ QUERIES = {
         L.SQL + rf"""SELECT id, 'a' || chr(10) || CASE WHEN coalesce(text, '') = '' THEN '' ELSE '{_PRE}' || chr(10) || '----- BEGIN RETRIEVED MEMORY -----' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || '----- END RETRIEVED MEMORY -----' END || chr(10) || 'b' AS kept, true AS unknown_strips FROM eps""",
     ),
     "u8_compressed": (lambda s, d: L.working(s, d).select("id", prompts.compressed(F.col("content"), 10).alias("tail"), prompts.compressed(F.col("content"), 10, "start").alias("head")), L.SQL + ", x AS (SELECT id, content, length(content) // 4 AS t, (length(content) * 10 / greatest(1, length(content) // 4))::DOUBLE AS k FROM working) SELECT id, CASE WHEN t <= 10 THEN content ELSE right(content, floor(k)::INT) END AS tail, CASE WHEN t <= 10 THEN content ELSE left(content, floor(k)::INT) END AS head FROM x"),
+    "x13_indexed": (
+        lambda s, d: E.index(L.facts(s, d).select("id", F.col("content").alias("text")))["stats"],
+        _TERMS + f""", wp AS (SELECT id, sent, term FROM ti WHERE NOT EXISTS (SELECT 1 FROM ti b WHERE b.id = ti.id AND contains(b.term, ' ') AND list_contains(string_split(b.term, ' '), ti.term))),
+        mn AS (SELECT DISTINCT id, sent, e FROM (SELECT id, sent, {_ENT.format(c='term')} AS e FROM wp) WHERE {_is_entity('e')}), pm AS (SELECT id, count(DISTINCT e) AS entities, count(*) AS mentions FROM mn GROUP BY 1)
+        SELECT s.id, s.sentences, coalesce(entities, 0) AS entities, coalesce(mentions, 0) AS mentions FROM (SELECT id, count(*) AS sentences FROM sents GROUP BY 1) s LEFT JOIN pm ON pm.id = s.id""",
+    ),
+    "k21_logprobs": (
+        lambda s, d: L.working(s, d).withColumn("lp", F.transform(T.raw_tokens(F.col("content")), lambda t: -F.length(t) / 10)).select("id", F.round(S.perplexity(F.col("lp")), 9).alias("perplexity"), F.round(S.mean_logprob(F.col("lp")), 9).alias("mean_logprob")),
+        L.SQL + f", x AS (SELECT id, list_transform({tok('content')}, lambda t: -length(t) / 10) AS lp FROM working) SELECT id, CASE WHEN len(lp) > 0 THEN round(exp(-list_sum(lp) / len(lp)), 9) ELSE 1.0 END AS perplexity, CASE WHEN len(lp) > 0 THEN round(list_sum(lp) / len(lp), 9) ELSE 0.0 END AS mean_logprob FROM x",
+    ),
+    "k22_mentions_category": (
+        lambda s, d: L.preferences(s, d).select("id", *[semantic.mentions_category(T.expanded(T.split_tokens(F.lit(q))), F.col("category")).alias(f"q{i}") for i, q in enumerate(["in the chat or by hand", "import of tools"])]),
+        L.SQL + f", x AS (SELECT id, {split('category')} AS c FROM prefs) SELECT id, len(list_intersect(c, {split(repr('in the chat or by hand'))})) > 0 AS q0, len(list_intersect(c, {split(repr('import of tools'))})) > 0 AS q1 FROM x",
+    ),
+    "x15_many_queries": (
+        lambda s, d: lexical.retrieve_cold(L.cold(s, d), _asked(s, d), AS_OF).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
+        L.SQL + ", q AS (SELECT item_id AS query_id, coalesce(question, '') AS query FROM eval_items)" + bm25_sql("coldm", "text")
+        + f""", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rk FROM bm), c AS (SELECT query_id, id, round(1.0 + 0.35 * pow(0.5, greatest(0.0, ({AS_OF} - ts) / 86400.0) / 30.0) + 0.20 * least(1.0, greatest(0.0, coalesce(nullif(try_cast(json_extract_string(metadata_json, '$.importance') AS DOUBLE), 0), 0.5))), 9) AS score FROM r JOIN coldm USING (id) WHERE rk <= 100),
+        t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM c) SELECT query_id, id, rank, round(score, 6) AS score FROM t WHERE rank <= 10""",
+    ),
+    "x24_many_queries": (lambda s, d: retrieval.retrieve(L.episodes(s, d), L.facts(s, d), L.cold(s, d), _asked(s, d), AS_OF, 1600, L.preferences(s, d), L.notes(s, d)), None),
     "j7_typed_edges": (lambda s, d: _edges(s, d).select("relation", "subject_text", "entity_text", "confidence"), L.SQL + f", rl AS ({_REL}) SELECT relation, f.content AS subject_text, object AS entity_text, rl.confidence AS confidence FROM rl, fcts f WHERE f.id = (SELECT min(id) FROM fcts)"),
     "x18_graph_search": (lambda s, d: semantic.search_all(L.facts(s, d), L.preferences(s, d), L.notes(s, d), _edges(s, d), queries_df(s)).select("query_id", "type", "id", F.round("match", 6).alias("match"), "rank"), None),
 }
