@@ -10,6 +10,7 @@ from ..sources import jsonl
 from ..sources import logical as L
 from ..sources.tables import table
 from .kernels import AS_OF
+from .knowledge import _COO, _TERMS
 from .memory import _COS, _SCORE, QSQL, _vec, bm25_sql, queries_df
 
 _N = r"regexp_replace(lower(regexp_replace(coalesce({c}, ''), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')"
@@ -232,7 +233,7 @@ QUERIES = {
     ),
     "g10_entity_edges": (
         lambda s, d: graph.upsert_edges(*[extraction.cooccurrences(extraction.tfidf(L.facts(s, d).select("id", F.col("content").alias("text"))), 2).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED").alias("kind"), (F.col("count") * k).cast("double").alias("weight")) for k in (1, 2)]),
-        None,
+        _TERMS + _COO + " SELECT a AS src, b AS dst, 'RELATED' AS kind, (2 * count)::DOUBLE AS weight FROM co WHERE count >= 2",
     ),
     "g31_forgetting": (
         lambda s, d: reporting.index_to_first(_judgments(s, d).filter("kind = 'direct'").groupBy("trial").agg(F.avg(F.col("found").cast("double")).alias("recall")), "trial", "recall").select("trial", F.round("recall", 9).alias("recall"), F.round("ratio", 9).alias("ratio")),
@@ -257,6 +258,6 @@ QUERIES = {
         L.SQL + ", x AS (SELECT task, run_id AS id, ts, status = 'failed' AS f, count(*) FILTER (status <> 'failed') OVER (PARTITION BY task ORDER BY ts, run_id ROWS UNBOUNDED PRECEDING) AS r FROM runs), y AS (SELECT *, row_number() OVER (PARTITION BY task, r ORDER BY ts, id) AS n FROM x WHERE f) SELECT task, id, ts AS opened, ts + 30 AS until FROM y WHERE n = 2",
     ),
     "x29_answers": (_answers, _answers_sql()),
-    "x28_z9_json": (_json, None),
+    "x28_z9_json": (_json, L.SQL + f", x AS (SELECT id, importance, unnest(range(0, {len(WRAPS)}))::INT AS i FROM eps) SELECT id, i, CASE WHEN i < 3 THEN id END AS k, CASE WHEN i < 3 THEN 'a }} b' END AS v, i < 3 AND id IS NOT NULL AND importance IS NOT NULL AS valid FROM x"),
 }
 QUERIES["x1_x3_decisions"] = (_x3, _x3_sql())
