@@ -24,6 +24,13 @@ class Boosted:
         self.base = float(np.log(rate / (1 - rate)))
         score = np.full(n, self.base)
         grid = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)))[:-1] for j in range(m)]
+        # bins of all features laid end to end; a value is at most cut k of its feature if its bin is at most k
+        first = np.cumsum([0, *(len(c) + 1 for c in grid)])
+        bins = np.stack([np.searchsorted(c, x[:, j], "left") + first[j] for j, c in enumerate(grid)], axis=1)
+        feature_of = np.repeat(np.arange(m), np.diff(first))
+        is_cut = np.ones(first[-1], bool)
+        is_cut[first[1:] - 1] = False
+        cuts = np.concatenate([np.r_[c, np.inf] for c in grid])
         for t in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
             g, h = y - p, p * (1 - p)
@@ -35,17 +42,14 @@ class Boosted:
                     if len(at) < 8:
                         continue
                     gs, hs = g[at].sum(), h[at].sum()
-                    best = 1e-6
-                    for j in range(m):
-                        column = x[at, j]
-                        for c in grid[j]:
-                            left = column <= c
-                            gl, hl = g[at][left].sum(), h[at][left].sum()
-                            if hl < 0.2 or hs - hl < 0.2:
-                                continue
-                            gain = gl**2 / (hl + self.l2) + (gs - gl) ** 2 / (hs - hl + self.l2) - gs**2 / (hs + self.l2)
-                            if gain > best:
-                                best, self.feature[t, spot], self.cut[t, spot] = gain, j, c
+                    flat = bins[at].ravel()
+                    gl, hl = (np.cumsum(np.bincount(flat, np.repeat(v[at], m), first[-1])) for v in (g, h))
+                    gl, hl = (v - np.r_[0.0, v][first[:-1]][feature_of] for v in (gl, hl))
+                    gain = gl**2 / (hl + self.l2) + (gs - gl) ** 2 / (hs - hl + self.l2) - gs**2 / (hs + self.l2)
+                    gain = np.where(is_cut & (hl >= 0.2) & (hs - hl >= 0.2), np.round(gain, 9), -np.inf)
+                    k_best = int(np.argmax(gain))
+                    if gain[k_best] > 1e-6:
+                        self.feature[t, spot], self.cut[t, spot] = feature_of[k_best], cuts[k_best]
                 spots = 2**level - 1 + node
                 node = node * 2 + (x[np.arange(n), self.feature[t, spots]] > self.cut[t, spots])
             for leaf in range(leaves):
