@@ -41,28 +41,34 @@ def orphans(refs: DataFrame, ref_cols: list[str], parents: DataFrame, key_cols:
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"match must be simple, partial or full, not {match!r}")
     n = len(ref_cols)
-    keyed = refs.withColumn("_mask", _mask(ref_cols))
+    ones, zeros = "1" * n, "0" * n
+    # the masks under which a reference refers to something that can be looked up
+    masks = ["".join(m) for m in product("01", repeat=n) if "1" in m] if match == "partial" else [ones]
+
+    def key(mask: Column, cols: list[Column]) -> Column:
+        # to_json of the parts is one-to-one, so unlike a plain concatenation it merges no two keys
+        return cols[0].cast("string") if n == 1 else F.concat(mask, F.to_json(F.array(*[c.cast("string") for c in cols])))
+
     seen = parents.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(key_cols)], (F.col(born) if born else F.lit(None).cast("double")).alias("_b"))
-    parts: list[DataFrame] = []
-    for mask in ("".join(m) for m in product("01", repeat=n)):
-        part = keyed.filter(F.col("_mask") == mask).drop("_mask")
+
+    def under(mask: str) -> Column:
+        """A parent's key under a mask, null if it lacks a column of it."""
         some = [i for i in range(n) if mask[i] == "1"]
-        if not some or (match == "simple" and len(some) < n):
-            parts.append(part.withColumn("_found", F.lit(None).cast("boolean")).withColumn("_born", F.lit(None).cast("double")))
-            continue
-        if match == "full" and len(some) < n:
-            parts.append(part.withColumn("_found", F.lit(False)).withColumn("_born", F.lit(None).cast("double")))
-            continue
-        # to_json of the parts is one-to-one, so unlike a plain concatenation it merges no two keys
-        side = seen.filter(" AND ".join(f"_p{i} IS NOT NULL" for i in some))
-        of = lambda names: F.col(names[0]).cast("string") if len(names) == 1 else F.to_json(F.array(*[F.col(x).cast("string") for x in names]))
-        side = side.select(of([f"_p{i}" for i in some]).alias("_key"), "_b").groupBy("_key").agg(F.min("_b").cast("double").alias("_born"), F.lit(True).alias("_hit"))
-        joined = skew.lookup(part.withColumn("_key", of([ref_cols[i] for i in some])), side, "_key")
-        parts.append(joined.select(*refs.columns, F.coalesce("_hit", F.lit(False)).alias("_found"), "_born"))
-    out = parts[0].select(*refs.columns, "_found", "_born")
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*refs.columns, "_found", "_born"))
-    return out
+        whole = F.lit(True)
+        for i in some:
+            whole = whole & F.col(f"_p{i}").isNotNull()
+        return F.when(whole, key(F.lit(mask), [F.col(f"_p{i}") if i in some else F.lit(None).cast("string") for i in range(n)]))
+
+    # one pass over either side: each parent once under every mask (at most 2^n - 1), each reference under its own
+    side = seen.select(F.explode(F.array(*[under(m) for m in masks])).alias("_key"), "_b").filter("_key IS NOT NULL")
+    side = side.groupBy("_key").agg(F.min("_b").cast("double").alias("_born"), F.lit(True).alias("_hit"))
+    keyed = refs.withColumn("_mask", _mask(ref_cols))
+    keyed = keyed.withColumn("_key", F.when(F.col("_mask").isin(*masks), key(F.col("_mask"), [F.col(c) for c in ref_cols])))
+    mask = F.col("_mask")
+    found = F.when(mask == zeros, F.lit(None).cast("boolean"))
+    if match != "partial":
+        found = found.when(mask != ones, F.lit(None).cast("boolean") if match == "simple" else F.lit(False))
+    return skew.lookup(keyed, side, "_key").select(*refs.columns, found.otherwise(F.coalesce("_hit", F.lit(False))).alias("_found"), "_born")
 
 
 def reference_states(log: DataFrame, episodes: DataFrame, archive: DataFrame) -> DataFrame:
