@@ -318,17 +318,17 @@ FRAMES = {
     "phone": "You can ring me on {v} after six.|My mobile is {v}.|The shop's number: {v}|Fax {v}, office hours only.|Dial {v} and ask for the {t}.|If the boiler fails, phone {v}.|Text {v} when you arrive in {T}.|The hotline {v} is free of charge.|Reach the {t} team on {v}.|{v} is my work phone.|Ruf mich unter {v} zurück.|Meine Handynummer ist {v}.|Telefon {v}, bitte nur vormittags.|Die Praxis ist unter {v} erreichbar.|Mon portable est le {v}.|Appelez le {v} en cas de panne.|Téléphone : {v} (bureau {t})|Mi móvil es el {v}.|Llámame al {v} por la tarde.|Teléfono de la tienda: {v}",
     "id_number": "My passport number is {v}.|Her social security number, {v}, was on the form.|ID card {v}, issued in {T}.|National insurance: {v}|The tax office filed it under {v}.|I had to enter {v} as my tax number.|Licence no. {v} belongs to the driver.|{v} is my insurance number.|SSN {v} was printed on the {t} letter.|Delete the identity number {v} from the list.|Meine Steuernummer lautet {v}.|Ausweis Nr. {v}, gültig bis Mai.|Die Versicherungsnummer {v} steht im Brief.|Personalausweis: {v}|Mon numéro de sécurité sociale est le {v}.|Passeport n° {v} au dossier {t}.|Numéro fiscal : {v}|Mi NIE es {v}.|El pasaporte {v} caduca en mayo.|Número de la seguridad social: {v}",
     "address": "We moved to {v} last spring.|Deliver the {t} to {v}.|My office is at {v}.|The house at {v} is for sale.|Post it to {v}, please.|Home address: {v}|She lives at {v} with two cats.|The parcel for {T} was left at {v}.|Meet me in front of {v}.|Our warehouse is {v}, ring twice.|Unser Büro ist in der {v}.|Die Ware liegt noch in {v}.|Bitte liefert an {v}.|Sie wohnt {v}.|Anschrift: {v}|Nous habitons {v} depuis mai.|Livrez le {t} au {v}.|Adresse : {v}|Mi casa está en {v}.|Envíalo a {v}, por favor.|Domicilio: {v}",
-    "name": "Thanks to {v} for the cake.|We met {v} at the fair.|Please invite {v} to the wedding.|The letter was signed by {v}.|According to {v}, the bridge is closed.|My neighbour {v} waters the plants.|{v} wrote the first chapter.|{v} leads the choir in {T}.|{v} will visit {T} on Monday.|Yours sincerely, {v}|Regards, {v}|I'm {v} from {T}.|My name is {v}, nice to meet you.|Speak to {v} about the {t}.|Ask {v} for the key.|Forward the minutes to {v}.|It was {v} who found the {t}.|cc {v} on this mail|Contact {v} first.|{v} said that the {t} is late.|a photo by {v}, taken near {T}|the roof came from {v}, who repairs {t}|{v} owns the bakery now.|reviewed by {v} in {n}|Tell {v} that {T} is closed.|{v} {w} the {t}.|{v} {w} it again, and {T} {w} {t}.|{v} painted the door.|{v} forgot the keys at the {t}.|{v} and the others were late.|The soup was made by {v}.|The talk by {v} starts at {d}.|cc {v}|{v} sold the {t} to {T}.|{v} opened the window.|the flat of {v} (door {n})"
-    "|Danke an {v} für den Kuchen.|Frag {v} nach dem Schlüssel.|{v} leitet den Chor.|{v} betreut den Garten.|Mein Name ist {v}, guten Tag.|Ich heiße {v} und wohne in {T}.|Sprich mit {v} über das {t}.|Viele Grüße, {v}|Der Brief kam von {v}.|Jetzt übernimmt {v} die Kasse.|Laut {v} ist die Brücke zu."
-    "|Merci à {v} pour le gâteau.|Demandez à {v} la clé.|{v} dirige la chorale.|C'est {v} qui garde la maison.|Je m'appelle {v}, enchanté.|Parlez à {v} du {t}.|Cordialement, {v}|La lettre vient de {v}.|{v} a écrit le premier chapitre.|Selon {v}, le pont est fermé."
-    "|Gracias a {v} por la tarta.|Pregunta a {v} por la llave.|{v} dirige el coro.|Ahora {v} lleva la tienda.|Me llamo {v}, encantado.|Habla con {v} sobre el {t}.|Saludos, {v}|La carta es de {v}.|{v} escribió el primer capítulo.|Según {v}, el puente está cerrado.",
+    "name": "Thanks to {v} for the cake.|We met {v} at the fair.|Please invite {v} to the wedding.|The letter was signed by {v}.|According to {v}, the bridge is closed.|My neighbour {v} waters the plants.|{v} wrote the first chapter.|{v} leads the choir in {T}.|{v} will visit {T} on Monday.|Yours sincerely, {v}|Regards, {v}|I'm {v} from {T}.|My name is {v}, nice to meet you.|Speak to {v} about the {t}.|Ask {v} for the key.|Forward the minutes to {v}.|It was {v} who found the {t}.|cc {v} on this mail|Contact {v} first.|{v} said that the {t} is late.|a photo by {v}, taken near {T}|a cake came from {v} this morning|{v} runs the bakery on Mondays.|reviewed by {v} in {n}|Tell {v} that {T} is closed.|{v} {w} the {t}.|{v} {w} it again, and {T} {w} {t}.|{v} painted the door.|{v} forgot the keys at the {t}.|{v} and the others were late.|The soup was made by {v}.|The talk by {v} starts at {d}.|cc {v}|{v} sold the {t} to {T}.|{v} opened the window.|the flat of {v} (door {n})"
+    "|Danke an {v} für den Kuchen.|Frag {v} nach dem Schlüssel.|{v} leitet den Chor.|{v} übernimmt den Garten.|Mein Name ist {v}, guten Tag.|Ich heiße {v} und wohne in {T}.|Sprich mit {v} über das {t}.|Viele Grüße, {v}|Der Brief kam von {v}.|Jetzt übernimmt {v} die Kasse.|Laut {v} ist die Brücke zu."
+    "|Merci à {v} pour le gâteau.|Demandez à {v} la clé.|{v} dirige la chorale.|{v}, qui habite en face, garde la maison.|Je m'appelle {v}, enchanté.|Parlez à {v} du {t}.|Cordialement, {v}|La lettre vient de {v}.|{v} a écrit le premier chapitre.|Selon {v}, le pont est fermé."
+    "|Gracias a {v} por la tarta.|Pregunta a {v} por la llave.|{v} dirige el coro.|Mañana {v} visita a mi tía.|Me llamo {v}, encantado.|Habla con {v} sobre el {t}.|Saludos, {v}|La carta es de {v}.|{v} escribió el primer capítulo.|Según {v}, el puente está cerrado.",
 }
 #: Sentences that hold no personal data and look as if they did.
 LOOKALIKES = (
-    "The parcel {N} left {T} this morning.|Order {n}-{n} has shipped.|Your invoice {n}/{n} is due on 2023-11-0{d}.|Install {T} {d}.{d}.{n} before Friday.|The ISBN is 978-{d}-{n}-{n}-{d}.|Ping 192.168.{d}.{d} from the {t} host.|Version {d}.{n}.{d} of {t} fixes the leak.|Commit {N} broke the {t} build.|Row {n} of {n} is empty.|The score was {d}-{d} after {n} minutes.|Use {t}@{d}.{d}.{n} in the lock file.|The @{t} annotation is optional.|Lunch is at {d}:4{d} in room {n}.|{T} replaced {T} in spring.|Ask {T} before {T} does.|Open {T} and {t} side by side.|{T} and {T} share one key.|The {T} plugin talks to {t} through {t}.|{T} wrote {n} lines to the log.|{T} owns the lock while {t} waits.|Both {t} and {t} run on build {n}.|We moved from {t} to {t} and {t}.|Also {T} is late.|With {T} the wait fell to {n} seconds."
+    "The parcel {N} left {T} this morning.|Order {n}-{n} has shipped.|Your invoice {n}/{n} is due on 2023-11-0{d}.|Install {T} {d}.{d}.{n} before Friday.|The ISBN is 978-{d}-{n}-{n}-{d}.|Ping 192.168.{d}.{d} from the {t} host.|Version {d}.{n}.{d} of {t} fixes the leak.|Commit {N} broke the {t} build.|Row {n} of {n} is empty.|The score was {d}-{d} after {n} minutes.|Use {t}@{d}.{d}.{n} in the lock file.|The @{t} annotation is optional.|Lunch is at {d}:4{d} in room {n}.|{T} replaced {T} in spring.|Ask {T} before {T} does.|Open {T} and {t} side by side.|{T} and {T} share one key.|The {T} plugin talks to {t} through {t}.|{T} wrote {n} lines to the log.|{T} owns the lock while {t} waits.|Both {t} and {t} run on build {n}.|We moved from {t} to {t} and {t}.|Also {T} is late.|With {T} the trip took {n} minutes."
     "|The street map of {T} has {n} layers.|Main Street is closed today.|Turn left at the next road, then {n} steps.|There are {n} ways to close a {t}.|Batch {N}, page {d}.|Serial {n}-{n}, part {d}.|Range {n}-{n}, ratio {d}/{d}.|Coordinates {d}.{n}, {d}.{n}.|The timestamp {N} is in milliseconds.|New Year is in {n} days.|Monday Morning, item {d}.|The {T} Museum opens in May.|{T} University and {T} Bank signed.|Getting Started With {T}|{T} for {t}, {T} for {t}.|cc {T} on this ticket, see {t}-{n}.|called {t} {n} times|according to {T} the {t} is full|we met at {t} near {T}|made by {t}, sold by {t}.|{T} runs {t} on port {n}.|{t} runs {t} first, then {t} runs again.|See {t}, {t} and {t}.|Then {t} leads to {t}; {t} does not.|also {t}.|or {t} in {n}."
-    "|They want to drop {t} and keep {t} for now.|Show me how to rebuild {t} after lunch.|The old tool called {t} needs {t} first.|Nobody asked {t} about it.|It talks to {t} and reads from {t}; {t} stays.|Start {t} first, then {t}.|We prefer {t} over {t} because of the noise.|She said so, and {t} agreed.|now {t} waits for {t}|tell me about {t} and {t}|ask for {t} again|{t} / {t}|first {t}, then {t}, or {t}.|The queue is full, {t} stops.|this was written by {t} after {t}|The catalogue entry {d}-{d}{d}{d}-{n}-{n} has no cover.|Item {n}-{n}-{n} is out of stock.|Part number {d}{d}{d}-{d}-{n}-{n}-{d}|entry {n}-{d}{d}{d}{d} of {t}|ISBN {z}{d}-{d}-{n}-{n}-{z}|Article {z}-{z}{d}-{n}-{n} is sold out.|part {z}-{n}-{n}-{d} of the catalogue|serial number {z}-{d}-{n}-{n}|We kept {t} and {w} {t}.|They want to {w} {t} or {w} {t}.|It is late, {w} {t}.|{w} {t}; {w} {t}.|{w} {t} / {w} {t}|The {t} is empty, says {t}.|Ask about {w} {t}.|{w} {t} runs on {t}.|now {w} {t} on {t}|{T} {w} {t}, and {w} {t}.|{t} {w} {w} {t} oder {w} {t}.|{t} {w} {t} et {w} {t}.|{t} {w} {t} y {w} {t}.|It took {n} {n} seconds.|from {n} {n} bytes to {n}|rows {n} {n} {n}"
-    "|Wir behalten {t} und streichen {t}.|Das Werkzeug {t} braucht {t}.|Jetzt wartet {t} auf {t}.|Erst {t}, dann {t}.|Laut {t} ist alles leer.|Danke, das mit {t} geht.|On garde {t} et on jette {t}.|Il suffit de relancer {t} après {t}.|Maintenant {t} attend {t}.|selon {t} tout est vide|merci, {t} marche|Quitamos {t} y dejamos {t}.|Basta con reiniciar {t} después de {t}.|Ahora {t} espera a {t}.|según {t} todo está vacío|gracias, {t} funciona"
+    "|They want to drop {t} and keep {t} for now.|Show me how to rebuild {t} after lunch.|A word like {t} sounds as odd as {t}.|Nobody asked {t} about it.|It talks to {t} and reads from {t}; {t} stays.|Start {t} first, then {t}.|We prefer {t} over {t} because of the noise.|She said so, and {t} agreed.|now {t} waits for {t}|tell me about {t} and {t}|ask for {t} again|{t} / {t}|first {t}, then {t}, or {t}.|The queue is full, {t} stops.|this was written by {t} after {t}|The catalogue entry {d}-{d}{d}{d}-{n}-{n} has no cover.|Item {n}-{n}-{n} is out of stock.|Part number {d}{d}{d}-{d}-{n}-{n}-{d}|entry {n}-{d}{d}{d}{d} of {t}|ISBN {z}{d}-{d}-{n}-{n}-{z}|Article {z}-{z}{d}-{n}-{n} is sold out.|part {z}-{n}-{n}-{d} of the catalogue|serial number {z}-{d}-{n}-{n}|She chose {t} and {w} {t}.|They want to {w} {t} or {w} {t}.|It is late, {w} {t}.|{w} {t}; {w} {t}.|{w} {t} / {w} {t}|The {t} is empty, says {t}.|Ask about {w} {t}.|{w} {t} runs on {t}.|now {w} {t} on {t}|{T} {w} {t}, and {w} {t}.|{t} {w} {w} {t} oder {w} {t}.|{t} {w} {t} et {w} {t}.|{t} {w} {t} y {w} {t}.|It took {n} {n} seconds.|from {n} {n} bytes to {n}|rows {n} {n} {n}"
+    "|Wir behalten {t} und streichen {t}.|Das Werkzeug {t} braucht {t}.|Jetzt wartet {t} auf {t}.|Erst {t}, dann {t}.|Laut {t} ist alles leer.|Danke, das mit {t} geht.|On garde {t} et on jette {t}.|On peut ranger {t} derrière {t}.|Maintenant {t} attend {t}.|selon {t} tout est vide|merci, {t} marche|Quitamos {t} y dejamos {t}.|Se puede guardar {t} detrás de {t}.|Ahora {t} espera a {t}.|según {t} todo está vacío|gracias, {t} funciona"
     "|Bestellung {n}-{n} ist unterwegs.|Die Fassung {d}.{n} von {t} ist fertig.|Mit {t} und {T} geht es schneller.|Der {T} spricht mit {t}.|Frag {T} nach {t}.|{T} betreut {t} nicht.|Seit Zeile {n} fehlt der {T}.|Der Weg {n} ist zu.|Am Montag startet {T} den {t}.|von {t} nach {t}, mit {t}|La commande {n}-{n} est partie.|La version {d}.{n} de {t} est prête.|{T} remplace {T} depuis mai.|Demande à {T} si {t} tourne.|avec {t} et {t}, ligne {n}|C'est {T} qui lit {t}.|par {t} ou {t}|El pedido {n}-{n} ha salido.|La versión {d}.{n} de {t} está lista.|{T} sustituye a {T} desde mayo.|Pregunta a {T} por {t}.|Ahora {T} lee {t}.|con {t} y {t}, fila {n}|por {t} o {t}|Usa {T} con {t} en lugar de {T}."
 ).split("|")
 
