@@ -2,10 +2,12 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
 
+from tidewell import session
 from tidewell.llm import dartminhash as D
 from tidewell.llm import neardup as N
 
@@ -102,6 +104,35 @@ def test_parity_loses_no_pair(spark):
     assert want <= got and len(got) < 61 * 62 // 2 and ("long1", "long2") in want
 
 
+def test_parity_sorts_out_chance_meetings_of_long_texts(spark):
+    """Texts of 150 words of which half are common to all, in one bucket: only the similar pair is a candidate."""
+    common = [f"w{i}" for i in range(75)]
+    t = [(f"{i:02}", " ".join(common + [f"v{i}x{j}" for j in range(75)])) for i in range(40)]
+    t.append(("twin", t[0][1].replace("v0x0 ", "other ")))
+    s = N.sketches(spark.createDataFrame(t, "id string, text string")).withColumn("bands", N.F.expr("array(1)"))
+    names = {x.cls: x.id for x in s.collect()}
+    assert {tuple(sorted((names[x.a], names[x.b]))) for x in N._pairs(s, 0.8).collect()} == {("00", "twin")}
+
+
+def test_a_released_cut_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before, setting = files(), spark.conf.get(session._RELEASE)
+    rows = session.cut(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "t", release=True).collect()
+    for _ in range(25):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert len(rows) == 7 and not files() - before and spark.conf.get(session._RELEASE) == setting
+
+
+def test_passes_find_the_pairs_of_all_bands(spark):
+    df = spark.createDataFrame(_texts(30, 3), "id string, text string")
+    s = N.sketches(df).drop("id").distinct()
+    pairs = lambda x: {(r.a, r.b) for r in x.collect()}
+    assert pairs(N._candidates(s, 0.8, N.BANDS)) == pairs(N._pairs(s, 0.8)) != set()
+
+
 def test_weighted_sketch_equals_unrolled_collisions():
     """Counts enter the sketch as weights: the collision rate follows the similarity with repeats."""
     a, b = Counter({f"w{i}": 1 + i % 4 for i in range(40)}), Counter({f"w{i}": 1 + (i + i // 9) % 4 for i in range(3, 40)})

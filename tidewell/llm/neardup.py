@@ -2,17 +2,20 @@
 
 Texts are bags of words (runs of letters or digits, lower case, with repeats). One scan turns each
 text into the hash of its bag, a DartMinHash signature of its words weighted by their counts, cut
-into bands, and a parity word. Records with the same bag form one class without any comparison.
+into bands, and parities. Records with the same bag form one class without any comparison.
 Classes that share a band are candidates if their sizes and parities allow the threshold, and an
 exact comparison of the bags keeps those with a similarity of at least `threshold`.
 
 Parity: every word flips one of PARITY bits, so two bags whose parities differ in h bits differ in
-at least h words. This is a bound, not an estimate: it sorts out most pairs that meet in a band by
-chance while they are still in the join, and loses none.
+at least h words. This is a bound, not an estimate: it sorts out nearly all pairs that meet in a
+band by chance while they are still in the join, and loses none. Those pairs grow with the square of
+the records, so there are bits enough for texts of some 200 words, whose few bits would be full.
 
 A band bucket is joined with itself by key, never collected; both sides read one exchange, and the
-skew join of adaptive execution splits a bucket that outgrows its task. A pair that shares several
-bands is compared once. Only the texts of classes in a candidate pair are read again for their bags.
+skew join of adaptive execution splits a bucket that outgrows its task. The bands are joined in
+PASSES, and each gives its shuffle files back, so the disk holds the rows of one pass. A pair that
+shares several bands is compared once. Only the texts of classes in a candidate pair are read again
+for their bags.
 
 Nulls: rows with a null id or a null text are left out. A text without any word is similar to
 nothing, another such text included (0 of 0 words). Rows repeated under one id count once; an id
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,9 +43,12 @@ from . import dartminhash
 WORD = re.compile(r"[^\W_]+")
 #: Bands and rows a band: a pair at similarity .8 meets in a band with probability 1 - (1 - .8^6)^22 = .9988.
 BANDS, ROWS = 22, 6
-#: A long holds the parity in its upper bits and the number of words, up to MOST, in the others.
-PARITY, SIZE_BITS = 52, 12
-MOST = 2**SIZE_BITS - 1
+#: Three longs hold the parity, the first of them the number of words, up to MOST, in its lower bits.
+LONGS, SIZE_BITS = 3, 12
+PARITY, MOST = 64 * LONGS - SIZE_BITS, 2**SIZE_BITS - 1
+PARITIES = tuple(f"parity{i}" for i in range(LONGS))
+#: The bands are joined in so many passes.
+PASSES = 3
 
 
 class _Hashes(dict):
@@ -80,8 +87,8 @@ def _clean(records: DataFrame) -> DataFrame:
 
 
 def sketches(records: DataFrame, n_bands: int = BANDS, n_rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """records(id, text) -> id, cls (hash of the bag), parity (with the size), bands (array of int).
-    Texts without words have no row."""
+    """records(id, text) -> id, cls (hash of the bag), parity0 (with the size) and on, bands (array of
+    int). Texts without words have no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Hashes()
@@ -100,13 +107,14 @@ def sketches(records: DataFrame, n_bands: int = BANDS, n_rows: int = ROWS, seed:
             words, counts = np.concatenate([w for w, _ in mine]), np.concatenate([c for _, c in mine])
             sig = dartminhash.sketch(owner, words, counts.astype(float), len(mine), n_bands * n_rows, seed)
             keys = dartminhash.bands(sig, n_rows).astype(np.int32)
-            flips = np.zeros((len(mine), PARITY), np.int64)
-            np.add.at(flips, (owner, dartminhash.mix(words) % np.uint64(PARITY)), counts)
-            size = np.minimum(np.bincount(owner, counts, len(mine)).astype(np.int64), MOST)
-            parity = ((flips % 2) << np.arange(SIZE_BITS, SIZE_BITS + PARITY)).sum(axis=1) | size
-            yield pd.DataFrame({"id": ids, "cls": cls, "parity": parity[which], "bands": list(keys[which])})
+            at = owner * np.int64(PARITY) + (dartminhash.mix(words) % np.uint64(PARITY)).astype(np.int64)
+            bits = np.zeros((len(mine), 64 * LONGS), np.uint8)
+            bits[:, SIZE_BITS:] = (np.bincount(at, counts, len(mine) * PARITY) % 2).reshape(len(mine), PARITY)
+            parity = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            parity[:, 0] |= np.minimum(np.bincount(owner, counts, len(mine)).astype(np.int64), MOST)
+            yield pd.DataFrame({"id": ids, "cls": cls} | {p: parity[which, i] for i, p in enumerate(PARITIES)} | {"bands": list(keys[which])})
 
-    return _clean(records).mapInPandas(run, "id string, cls bigint, parity bigint, bands array<int>")
+    return _clean(records).mapInPandas(run, f"id string, cls bigint, {', '.join(f'{p} bigint' for p in PARITIES)}, bands array<int>")
 
 
 def bags(records: DataFrame) -> DataFrame:
@@ -121,33 +129,42 @@ def bags(records: DataFrame) -> DataFrame:
     return _clean(records).mapInPandas(run, "cls bigint, bag array<bigint>").filter("size(bag) > 0")
 
 
-def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """classes(cls, parity, bands), one row each -> distinct candidates a < b: classes of one bucket
-    whose sizes and parities allow the threshold."""
-    rows = classes.select("cls", "parity", F.posexplode("bands").alias("_i", "_h"))
+def _pairs(classes: DataFrame, threshold: float, first: int = 0, n: int = BANDS) -> DataFrame:
+    """classes(cls, parities, bands), one row each -> distinct candidates a < b: classes of one bucket
+    of the n bands from `first` on whose sizes and parities allow the threshold."""
+    rows = classes.select("cls", *PARITIES, F.posexplode(F.slice("bands", first + 1, n)).alias("_i", "_h"))
     key = F.shiftleft(F.col("_i").cast("bigint"), 32).bitwiseOR(F.col("_h").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
-    side = lambda cls, parity: rows.select(key.alias("band"), F.col("cls").alias(cls), F.col("parity").alias(parity))
-    na, nb = (F.col(p).bitwiseAND(F.lit(MOST).cast("bigint")) for p in ("pa", "pb"))
+    side = lambda cls, p: rows.select(key.alias("band"), F.col("cls").alias(cls), *(F.col(x).alias(f"{p}{i}") for i, x in enumerate(PARITIES)))
+    na, nb = (F.col(p).bitwiseAND(F.lit(MOST).cast("bigint")) for p in ("pa0", "pb0"))
     long = (na == MOST) | (nb == MOST)
     fits = (na >= nb * threshold) & (nb >= na * threshold)
     # |A and B| >= t / (1 + t) (na + nb), so at most (1 - t) / (1 + t) (na + nb) words lie in one bag alone
-    apart = F.bit_count(F.shiftrightunsigned(F.col("pa").bitwiseXOR(F.col("pb")), SIZE_BITS)) <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    differ = [F.col(f"pa{i}").bitwiseXOR(F.col(f"pb{i}")) for i in range(LONGS)]
+    flipped = sum((F.bit_count(x) for x in differ[1:]), F.bit_count(F.shiftrightunsigned(differ[0], SIZE_BITS)))
+    apart = flipped <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
     return side("a", "pa").join(side("b", "pb"), "band").filter((F.col("a") < F.col("b")) & (long | fits & apart)).select("a", "b").distinct()
 
 
+def _candidates(classes: DataFrame, threshold: float, n_bands: int) -> DataFrame:
+    """The distinct candidates of all bands, pass by pass."""
+    n = -(-n_bands // PASSES)
+    parts = [cut(_pairs(classes, threshold, first, n), "candidates", release=True) for first in range(0, n_bands, n)]
+    return cut(reduce(DataFrame.unionByName, parts).distinct(), "candidates", release=True)
+
+
 def classes_and_links(records: DataFrame, threshold: float = 0.8, n_bands: int = BANDS, n_rows: int = ROWS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: id, cls — the class of equal bags of each id (an id with several
     texts has several rows). links: a < b, classes whose similarity is at least `threshold`, and
     the similarity."""
-    s = cut(sketches(spread(records), n_bands, n_rows, seed), "sketches")
+    s = cut(sketches(spread(records), n_bands, n_rows, seed), "sketches", release=True)
     members = s.select("id", "cls").distinct()
-    cand = cut(_pairs(s.select("cls", "parity", "bands").distinct(), threshold), "candidates")
+    cand = _candidates(cut(s.drop("id").distinct(), "classes", release=True), threshold, n_bands)
     need = cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     # one record of each class that a candidate needs
     pick = s.select("cls", "id").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
     texts = _clean(records).join(pick.select("id").distinct(), "id", "left_semi").distinct()
     bag = bags(texts).join(need, "cls", "left_semi").groupBy("cls").agg(F.first("bag").alias("bag"))
-    bag = cut(bag, "bags")
+    bag = cut(bag, "bags", release=True)
     both = cand.join(bag.select(F.col("cls").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("cls").alias("b"), F.col("bag").alias("bag_b")), "b")
     links = (
         both.withColumn("_s", F.size(F.array_intersect("bag_a", "bag_b")))
@@ -155,7 +172,7 @@ def classes_and_links(records: DataFrame, threshold: float = 0.8, n_bands: int =
         .filter(F.col("similarity") >= threshold)
         .select("a", "b", "similarity")
     )
-    return members, cut(links, "links")
+    return members, cut(links, "links", release=True)
 
 
 def similar_pairs(records: DataFrame, threshold: float = 0.8, **how) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: list[str] = []
 _written: list[str] = []
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(app: str = "tidewell", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -71,12 +72,20 @@ def _clean() -> None:
         shutil.rmtree(d, ignore_errors=True)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", release: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends in files that
-    outlive any executor, and whatever reads it twice does not compute it twice."""
+    outlive any executor, and whatever reads it twice does not compute it twice. release: delete
+    the shuffle files of the write as soon as it is done, not when the driver collects its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_RELEASE, None)
+    try:
+        if release:
+            spark.conf.set(_RELEASE, "true")
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
